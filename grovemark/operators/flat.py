@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovemark.functions.text import tokens_in_class, tokens_outside
@@ -26,13 +26,17 @@ def seen_classes(phrases: DataFrame) -> DataFrame:
     return phrases.select(F.explode(F.map_keys("index")).alias("class")).distinct()
 
 
-def assign_to_leaves(phrases: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Add cluster_id: the leaf label among the phrase's classes, the smallest of several, null without one.
+def keys_among(index: Column, leaves: DataFrame) -> Column:
+    """The class keys of an index that are leaf labels.
 
     The labels form one short array: a tree is grown to a fixed number of leaves.
     """
-    labels = leaves.agg(F.collect_set("cluster_id")).scalar()
-    return phrases.withColumn("cluster_id", F.array_min(F.array_intersect(F.map_keys("index"), labels)))
+    return F.array_intersect(F.map_keys(index), leaves.agg(F.collect_set("cluster_id")).scalar())
+
+
+def assign_to_leaves(phrases: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Add cluster_id: the leaf label among the phrase's classes, the smallest of several, null without one."""
+    return phrases.withColumn("cluster_id", F.array_min(keys_among(F.col("index"), leaves)))
 
 
 def with_true_class(phrases: DataFrame, documents: DataFrame, key: str, document_key: str, label: str) -> DataFrame:

@@ -25,7 +25,7 @@ def seeded_hash(key: str, seed: int) -> Column:
 def _first_by_hash(df: DataFrame, key: str, seed: int, group: Column, quota, strict: bool) -> DataFrame:
     """Keep the first quota(group, total) rows of each group in hash order; a null quota keeps all.
 
-    Adds _selected instead of filtering, so that a caller can split.
+    Groups are never null. Adds _selected instead of filtering, so that a caller can split.
     """
     hashed = df.withColumn("_group", group).withColumn("_hash", seeded_hash(key, seed))
     hashed = hashed.withColumn("_prefix", F.substring("_hash", 1, PREFIX_LENGTH))
@@ -51,16 +51,14 @@ def _first_by_hash(df: DataFrame, key: str, seed: int, group: Column, quota, str
         cuts = cuts.withColumn(
             "_quota", F.when(F.col("_quota") > F.col("_total"), F.raise_error(message)).otherwise(F.col("_quota"))
         )
-    else:
-        cuts = cuts.withColumn("_quota", F.least("_quota", "_total"))
     # One row per group of a caller's literal mapping (or a flag): bounded, so no shuffle of the table.
-    placed = hashed.join(F.broadcast(cuts), F.col("_group").eqNullSafe(cuts["_group"])).drop(cuts["_group"])
+    placed = hashed.join(F.broadcast(cuts), "_group")
     at_cut = F.col("_prefix") == F.col("_cut")
     sure = placed.filter(F.col("_cut").isNull() | ~at_cut).withColumn(
         "_selected",
-        F.when(F.col("_quota").isNull(), True)
-        .when(F.col("_quota") <= 0, False)
-        .otherwise(F.col("_prefix") < F.col("_cut")),
+        F.when(F.col("_cut").isNull(), F.col("_quota").isNull() | (F.col("_quota") > 0)).otherwise(
+            F.col("_prefix") < F.col("_cut")
+        ),
     )
     rank = F.row_number().over(Window.partitionBy("_group").orderBy("_hash", key))
     ranked = placed.filter(at_cut).withColumn("_selected", rank <= F.col("_quota") - F.col("_before"))

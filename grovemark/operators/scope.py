@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
@@ -13,6 +14,8 @@ from grovemark.operators.metrics import binary_scores, confusion
 from grovemark.operators.sampling import sample_exact, sample_per_class
 from grovemark.session import cut
 
+ROWS_PER_TASK = 20_000
+
 
 def with_features(df: DataFrame, vec: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vec).cast("array<double>")))
@@ -24,6 +27,8 @@ def fit_linear_svm(
     """A linear support vector machine with penalty c per row (the sum of losses is turned into a mean)."""
     rows = cut(with_features(training, vec).select("features", F.col(label).cast("double").alias("label")))
     n = rows.count()
+    # Every step of the optimiser is a job, so a small training set should not be many tasks.
+    rows = rows.coalesce(math.ceil(n / ROWS_PER_TASK)) if n else rows
     return LinearSVC(
         regParam=1.0 / (c * n), maxIter=max_iter, tol=tol, standardization=False, fitIntercept=True
     ).fit(rows)
