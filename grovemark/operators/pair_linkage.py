@@ -14,7 +14,7 @@ from grovemark.session import cut
 
 def _merge_mutual(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     """The merges of clusters that are nearest to each other; equal distances go to the smaller name."""
-    ends = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct("b", "a"))).alias("end"), "total", "weight")
+    ends = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("end"), "total", "weight")
     ends = ends.select(
         F.col("end.a").alias("low"), F.struct((F.col("total") / F.col("weight")).alias("distance"), F.col("end.b").alias("mate")).alias("to")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
@@ -15,6 +16,7 @@ from grovemark.operators.sampling import sample_exact, sample_per_class
 from grovemark.session import cut
 
 ROWS_PER_TASK = 20_000
+MAX_PARALLEL_FITS = 5
 
 
 def with_features(df: DataFrame, vec: str) -> DataFrame:
@@ -22,7 +24,7 @@ def with_features(df: DataFrame, vec: str) -> DataFrame:
 
 
 def fit_linear_svm(
-    training: DataFrame, vec: str, label: str, c: float = 1.0, max_iter: int = 100, tol: float = 1e-6
+    training: DataFrame, vec: str, label: str, c: float = 1.0, max_iter: int = 100, tol: float = 1e-4
 ) -> LinearSVCModel:
     """A linear support vector machine with penalty c per row (the sum of losses is turned into a mean)."""
     rows = cut(with_features(training, vec).select("features", F.col(label).cast("double").alias("label")))
@@ -50,6 +52,18 @@ def test_scores(model: LinearSVCModel, test: DataFrame, vec: str, label: str) ->
     return binary_scores(confusion(decisions(model, test, vec), label, "prediction"))
 
 
+def _scores_of_each(names: list[int], name: str, trainings: list[DataFrame], test: DataFrame, vec: str, label: str) -> DataFrame:
+    """One row of test scores per training set. The fits do not depend on each other, so their jobs overlap."""
+
+    def scored(training: DataFrame) -> DataFrame:
+        return test_scores(fit_linear_svm(training, vec, label), test, vec, label)
+
+    with ThreadPoolExecutor(MAX_PARALLEL_FITS) as pool:
+        scores = list(pool.map(scored, trainings))
+    rows = [row.select(F.lit(value).alias(name), "*") for value, row in zip(names, scores)]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def annotation_rounds(
     train: DataFrame,
     test: DataFrame,
@@ -67,15 +81,13 @@ def annotation_rounds(
     annotations and up to n_negative negative ones.
     """
     train, test = cut(train.select(key, vec, label)), cut(test.select(vec, label))
-    annotated, results = [], []
+    annotated, trainings = [], []
     for i in range(rounds):
         new = sample_exact(train, key, batch, seed + i)
         annotated.append(new.withColumn("_copy", F.concat(F.lit(f"{i}:"), F.col(key).cast("string"))))
-        pool = cut(reduce(DataFrame.unionByName, annotated))
-        chosen = sample_per_class(pool, "_copy", label, {1: None, 0: n_negative}, seed + i)
-        model = fit_linear_svm(chosen, vec, label)
-        results.append(test_scores(model, test, vec, label).select(F.lit(i).alias("round"), "*"))
-    return reduce(DataFrame.unionByName, results)
+        pool = reduce(DataFrame.unionByName, annotated)
+        trainings.append(sample_per_class(pool, "_copy", label, {1: None, 0: n_negative}, seed + i))
+    return _scores_of_each(list(range(rounds)), "round", trainings, test, vec, label)
 
 
 def scores_by_training_size(
@@ -83,8 +95,5 @@ def scores_by_training_size(
 ) -> DataFrame:
     """One row of test scores per training size; a smaller training set is part of every larger one."""
     train, test = cut(train.select(key, vec, label)), cut(test.select(vec, label))
-    results = []
-    for size in sizes:
-        model = fit_linear_svm(sample_exact(train, key, size, seed), vec, label)
-        results.append(test_scores(model, test, vec, label).select(F.lit(size).alias("n_train"), "*"))
-    return reduce(DataFrame.unionByName, results)
+    trainings = [sample_exact(train, key, size, seed) for size in sizes]
+    return _scores_of_each(sizes, "n_train", trainings, test, vec, label)

@@ -64,7 +64,7 @@ def discover_stop_words(
     """
     vectors = mean_vectors(annotations, "id", "tokens", word_vectors, dimensions)
     training = vectors.join(annotations.select("id", F.col("inRel").cast("int").alias("label")), "id")
-    model = fit_linear_svm(training, "vec", "label", c)
+    model = fit_linear_svm(training, "vec", "label", c, tol=1e-6)
     text = tokens(document_text(F.col("title"), F.col("abstract")))
     vocabulary = articles.select(F.explode(text).alias("word")).distinct()
     return words_out_of_scope(model, vocabulary, word_vectors)
