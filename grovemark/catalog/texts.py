@@ -8,6 +8,7 @@ from grovemark.catalog.registry import Entry, registrar, table
 from grovemark.functions import text as T
 from grovemark.operators import audit, flat, vectors
 from grovemark.operators.classes import keep_listed
+from grovemark.session import spread
 from grovemark.sources.articles import read_table
 
 ENTRIES: dict[str, Entry] = {}
@@ -29,7 +30,7 @@ vectors AS (SELECT word, list_transform(range(1, {DIMENSIONS + 1}), lambda i: as
 
 
 def tokenised(spark, folder, name="documents", key="doc_id"):
-    return table(spark, folder, name).select(key, T.tokens(F.col("text")).alias("tokens"))
+    return spread(table(spark, folder, name).select(key, "text"), key).select(key, T.tokens(F.col("text")).alias("tokens"))
 
 
 def word_vectors(spark, folder):

@@ -240,7 +240,7 @@ def tree_report(spark, folder):
 )
 def internal_similarity(spark, folder):
     made = merge_tree(spark, folder)
-    found = metrics.internal_similarity(made.documents, "cluster_id", "embedding", made.leaves, made.below)
+    found = metrics.internal_similarity(made.documents, "cluster_id", "embedding", 64, made.leaves, made.below)
     return rounded(found, "similarity")
 
 

@@ -46,7 +46,9 @@ def digit_class() -> str:
         for code in range(sys.maxunicode + 1)
         if unicodedata.category(chr(code)) != "Nd" and chr(code).isdigit()
     ]
-    return r"[\p{Nd}" + "".join(rf"\x{{{code:x}}}" for code in extra) + "]"
+    starts = [code for code in extra if code - 1 not in extra]
+    ends = [code for code in extra if code + 1 not in extra]
+    return r"[\p{Nd}" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]"
 
 
 def has_digit(word: Column) -> Column:

@@ -7,12 +7,10 @@ is no class.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovemark.operators.vectors import unit_vectors
+from grovemark.operators.vectors import sum_vectors, unit_vectors
 from grovemark.session import cut
 
 
@@ -152,23 +150,17 @@ def adjusted_rand_index(counts: DataFrame) -> DataFrame:
 
 
 def internal_similarity(
-    documents: DataFrame, cluster: str, vec: str, leaves: DataFrame, below: DataFrame
+    documents: DataFrame, cluster: str, vec: str, dimensions: int, leaves: DataFrame, below: DataFrame
 ) -> DataFrame:
     """(node, n, similarity): the mean cosine over all pairs of documents at or below a node.
 
     It equals the squared length of the mean unit vector. Sums are formed per cluster, then per node.
     """
     units = unit_vectors(documents.select(F.col(cluster).alias("cluster_id"), F.col(vec).alias("vec")), "vec")
-    sums = units.groupBy("cluster_id").agg(
-        Summarizer.sum(array_to_vector("vec")).alias("total"), F.count(F.lit(1)).alias("n")
-    )
-    by_node = (
-        sums.join(leaves.withColumnRenamed("node", "leaf"), "cluster_id")
-        .join(below, "leaf")
-        .groupBy("node")
-        .agg(Summarizer.sum(F.col("total")).alias("total"), F.sum("n").alias("n"))
-    )
-    length = F.aggregate(vector_to_array("total"), F.lit(0.0), lambda total, x: total + x * x)
+    by_cluster = sum_vectors(units, ["cluster_id"], "vec", dimensions, F.count(F.lit(1)).alias("n"))
+    placed = by_cluster.join(leaves.withColumnRenamed("node", "leaf"), "cluster_id").join(below, "leaf")
+    by_node = sum_vectors(placed, ["node"], "vec", dimensions, F.sum("n").alias("n"))
+    length = F.aggregate("vec", F.lit(0.0), lambda total, x: total + x * x)
     return by_node.select("node", "n", (length / (F.col("n") * F.col("n"))).alias("similarity"))
 
 

@@ -141,7 +141,7 @@ def test_internal_similarity_is_the_mean_pairwise_cosine(spark):
     docs = spark.createDataFrame([(0, v) for v in vectors], "cluster_id long, vec array<double>")
     leaves = spark.createDataFrame([(5, 0)], "node long, cluster_id long")
     below = spark.createDataFrame([(5, 5)], "node long, leaf long")
-    got = metrics.internal_similarity(docs, "cluster_id", "vec", leaves, below).head()
+    got = metrics.internal_similarity(docs, "cluster_id", "vec", 2, leaves, below).head()
     cosines = [[1, 0.5**0.5, 0], [0.5**0.5, 1, 0.5**0.5], [0, 0.5**0.5, 1]]
     assert got.n == 3 and math.isclose(got.similarity, sum(map(sum, cosines)) / 9)
 
