@@ -35,7 +35,8 @@ def tokenised(spark, folder, name="documents", key="doc_id"):
 
 def word_vectors(spark, folder):
     """The words of the conversations, with vectors read off their md5 digests."""
-    words = tokenised(spark, folder, "conversations", "conv_id").select(F.explode("tokens").alias("word")).distinct()
+    turns = tokenised(spark, folder, "conversations", "conv_id")
+    words = vectors.document_words(turns, "conv_id", "tokens").select("word").distinct().filter("word IS NOT NULL")
     digits = [F.ascii(F.substring(F.md5("word"), i, 1)).cast("float") for i in range(1, DIMENSIONS + 1)]
     return words.select("word", F.array(*digits).alias("vec"))
 

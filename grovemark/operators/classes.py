@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovemark.functions.labels import in_subtree
-from grovemark.session import fits
+from grovemark.session import fits, label_join
 
 # Up to this many listed values are put into the plan as a hashed set; more are joined.
 MAX_INLINE_VALUES = 10_000
@@ -57,13 +57,13 @@ def with_ancestors(documents: DataFrame, class_paths: DataFrame, root_ui: str, l
     """Add the ancestor list of each document's class; an unknown class gets an empty list."""
     lookup = ancestors(class_paths, root_ui).withColumnRenamed("ui", label)
     nothing = F.array().cast("array<string>")
-    return documents.join(lookup, label, "left").withColumn("ancestors", F.coalesce("ancestors", nothing))
+    return label_join(documents, lookup, label).withColumn("ancestors", F.coalesce("ancestors", nothing))
 
 
 def with_label_details(documents: DataFrame, class_paths: DataFrame, label: str) -> DataFrame:
     """Add number and heading of each document's class."""
     details = one_path_per_class(class_paths).withColumnRenamed("ui", label)
-    return documents.join(details, label, "left")
+    return label_join(documents, details, label)
 
 
 def without_class(documents: DataFrame, label: str, ui: str) -> DataFrame:

@@ -22,12 +22,13 @@ def seeded_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def _first_by_hash(df: DataFrame, key: str, seed: int, group: Column, quota, strict: bool) -> DataFrame:
-    """Keep the first quota(group, total) rows of each group in hash order; a null quota keeps all.
+def _first_by_hash(df: DataFrame, key: str, seed: int, group: Column | None, quota, strict: bool) -> DataFrame:
+    """Mark the first quota(group, total) rows of each group in hash order; a null quota takes all.
 
-    Groups are never null. Adds _selected instead of filtering, so that a caller can split.
+    Without a group the table is one group; groups are never null. Adds _selected instead of filtering, so that
+    a caller can split.
     """
-    hashed = df.withColumn("_group", group).withColumn("_hash", seeded_hash(key, seed))
+    hashed = df.withColumn("_group", F.lit(0) if group is None else group).withColumn("_hash", seeded_hash(key, seed))
     hashed = hashed.withColumn("_prefix", F.substring("_hash", 1, PREFIX_LENGTH))
     histogram = hashed.groupBy("_group", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy("_group")
@@ -51,8 +52,11 @@ def _first_by_hash(df: DataFrame, key: str, seed: int, group: Column, quota, str
         cuts = cuts.withColumn(
             "_quota", F.when(F.col("_quota") > F.col("_total"), F.raise_error(message)).otherwise(F.col("_quota"))
         )
-    # One row per group of a caller's literal mapping (or a flag): bounded, so no shuffle of the table.
-    placed = hashed.join(F.broadcast(cuts), "_group")
+    if group is None:
+        found = cuts.select(F.struct("_quota", "_cut", "_before")).scalar()
+        placed = hashed.withColumn("_found", found).select("*", "_found.*").drop("_found")
+    else:  # one row per group of a caller's literal mapping (or a flag), so no shuffle of the table
+        placed = hashed.join(F.broadcast(cuts), "_group")
     at_cut = F.col("_prefix") == F.col("_cut")
     sure = placed.filter(F.col("_cut").isNull() | ~at_cut).withColumn(
         "_selected",
@@ -67,7 +71,7 @@ def _first_by_hash(df: DataFrame, key: str, seed: int, group: Column, quota, str
 
 def sample_exact(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """Exactly n rows without replacement; fails when the table has fewer."""
-    marked = _first_by_hash(df, key, seed, F.lit(0), lambda group, total: F.lit(n), strict=True)
+    marked = _first_by_hash(df, key, seed, None, lambda group, total: F.lit(n), strict=True)
     return marked.filter("_selected").drop("_selected")
 
 
@@ -100,7 +104,7 @@ def split_train_test(df: DataFrame, key: str, test_share: float, seed: int = 0)
     if not 0.0 < test_share < 1.0:
         raise ValueError("test_share must lie between 0 and 1")
     marked = _first_by_hash(
-        df, key, seed, F.lit(0), lambda group, total: F.ceil(total * F.lit(test_share)), strict=False
+        df, key, seed, None, lambda group, total: F.ceil(total * F.lit(test_share)), strict=False
     )
     return marked.withColumnRenamed("_selected", "is_test")
 

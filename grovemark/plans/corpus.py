@@ -12,7 +12,7 @@ from grovemark.operators.classes import keep_listed
 from grovemark.operators.linkage import BLOCK_ROWS, average_linkage, cut_labels
 from grovemark.operators.scope import fit_linear_svm
 from grovemark.operators.scope import stop_words as words_out_of_scope
-from grovemark.operators.vectors import mean_vectors
+from grovemark.operators.vectors import document_words, mean_vectors
 from grovemark.session import cut
 
 
@@ -65,8 +65,8 @@ def discover_stop_words(
     vectors = mean_vectors(annotations, "id", "tokens", word_vectors, dimensions)
     training = vectors.join(annotations.select("id", F.col("inRel").cast("int").alias("label")), "id")
     model = fit_linear_svm(training, "vec", "label", c, tol=1e-6)
-    text = tokens(document_text(F.col("title"), F.col("abstract")))
-    vocabulary = articles.select(F.explode(text).alias("word")).distinct()
+    worded = articles.select(key, tokens(document_text(F.col("title"), F.col("abstract"))).alias("tokens"))
+    vocabulary = document_words(worded, key, "tokens").select("word").distinct()
     return words_out_of_scope(model, vocabulary, word_vectors)
 
 

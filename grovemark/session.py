@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # HOT_SHARE keys are hot, and a table with ordinary keys pays nothing.
 HOT_SHARE = 1_000
 HOT_ROWS = 200_000
+MAX_BROADCAST_CLASSES = 50_000  # a class row is a few hundred bytes
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -73,6 +74,13 @@ def lookup_join(
     return hot_part.unionByName(big.filter(~is_hot).join(lookup.filter(~is_hot), key, how))
 
 
+def label_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join documents to a lookup with one row per class: broadcast while the classes are few, else lookup_join."""
+    if fits(lookup, MAX_BROADCAST_CLASSES):
+        return big.join(F.broadcast(lookup), key, how)
+    return lookup_join(big, lookup, key, how)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether df has at most max_rows rows; reads no more than one row beyond the bound."""
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
