@@ -128,7 +128,7 @@ def grow_external_tree(nodes: DataFrame, seen: DataFrame, max_leaves: int, root:
     A node gives its children as long as the leaves made by all nodes before it are fewer than max_leaves.
     """
     edges = cut(present_edges(nodes, seen))
-    closure = cut(tree_closure(edges))
+    closure = tree_closure(edges)
     reached = closure.filter(F.col("ancestor") == root).select(
         F.col("node"), F.col("distance").alias("depth")
     )
