@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from grovemark.catalog.registry import Entry, registrar, table
-from grovemark.llm import byte_pairs
+from grovemark.llm import byte_pairs, simhash
 
 ENTRIES: dict[str, Entry] = {}
 query = registrar(ENTRIES)
 
 
+@query()
+def op3_simhash(spark, folder):
+    """Four-word shingles, links at 4 or fewer differing bits."""
+    found = simhash.near_copies(table(spark, folder, "documents"), words=4, bits=4)
+    digits = F.lower(F.lpad(F.hex("f0"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 @query()
 def op7_byte_pairs(spark, folder):
     return byte_pairs.digests(table(spark, folder, "documents"))
