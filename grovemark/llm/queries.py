@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grovemark.catalog.registry import Entry, registrar, table
-from grovemark.llm import byte_pairs, simhash
+from grovemark.llm import byte_pairs, ring, simhash
 
 ENTRIES: dict[str, Entry] = {}
 query = registrar(ENTRIES)
@@ -19,6 +19,15 @@ def op3_simhash(spark, folder):
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query()
+def op5_ring(spark, folder):
+    """Eight shards on a ring without slack, so that the numbers of rows differ by one at most."""
+    found = ring.assign(table(spark, folder, "documents"), n_shards=8, vnodes=128, slack=0.0)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @query()
 def op7_byte_pairs(spark, folder):
     return byte_pairs.digests(table(spark, folder, "documents"))
