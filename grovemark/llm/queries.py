@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grovemark.catalog.registry import Entry, registrar, table
-from grovemark.llm import byte_pairs, ring, simhash
+from grovemark.llm import byte_pairs, lines, ring, simhash
 
 ENTRIES: dict[str, Entry] = {}
 query = registrar(ENTRIES)
@@ -31,3 +31,8 @@ def op5_ring(spark, folder):
 @query()
 def op7_byte_pairs(spark, folder):
     return byte_pairs.digests(table(spark, folder, "documents"))
+
+
+@query()
+def op8_lines(spark, folder):
+    return lines.line_report(table(spark, folder, "documents"))
