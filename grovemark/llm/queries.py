@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grovemark.catalog.registry import Entry, registrar, table
-from grovemark.llm import byte_pairs, lines, ring, simhash
+from grovemark.llm import byte_pairs, lines, personal, ring, simhash
 
 ENTRIES: dict[str, Entry] = {}
 query = registrar(ENTRIES)
 
 
+@query()
+def op1_personal(spark, folder):
+    return personal.report(table(spark, folder, "documents"))
+
+
 @query()
 def op3_simhash(spark, folder):
     """Four-word shingles, links at 4 or fewer differing bits."""
