@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grovemark.catalog.registry import Entry, registrar, table
-from grovemark.llm import byte_pairs, lines, personal, ring, simhash
+from grovemark.llm import byte_pairs, languages, lines, personal, ring, simhash
+from grovemark.llm.folds import fold
 
 ENTRIES: dict[str, Entry] = {}
 query = registrar(ENTRIES)
@@ -41,3 +42,9 @@ def op7_byte_pairs(spark, folder):
 @query()
 def op8_lines(spark, folder):
     return lines.line_report(table(spark, folder, "documents"))
+
+
+@query()
+def op10_languages(spark, folder):
+    docs = table(spark, folder, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    return languages.identify(docs, ~F.col("held_out"), carry=["held_out"])
