@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grovemark.catalog.registry import Entry, registrar, table
-from grovemark.llm import byte_pairs, languages, lines, personal, ring, simhash
+from grovemark.llm import byte_pairs, languages, lines, personal, quality, ring, simhash
 from grovemark.llm.folds import fold
 
 ENTRIES: dict[str, Entry] = {}
@@ -44,6 +44,13 @@ def op8_lines(spark, folder):
     return lines.line_report(table(spark, folder, "documents"))
 
 
+@query()
+def op9_quality(spark, folder):
+    docs = table(spark, folder, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    model = quality.train(docs, table(spark, folder, "labels"), fold("doc_id", 5) != 0)
+    return quality.score(docs, model, threshold=0.3, keep=["doc_id", "held_out"])
+
+
 @query()
 def op10_languages(spark, folder):
     docs = table(spark, folder, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
