@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grovemark.catalog.registry import Entry, registrar, table
-from grovemark.llm import byte_pairs, languages, lines, personal, quality, ring, simhash
+from grovemark.llm import byte_pairs, languages, leaks, lines, personal, quality, ring, simhash
 from grovemark.llm.folds import fold
 
 ENTRIES: dict[str, Entry] = {}
@@ -17,6 +17,11 @@ def op1_personal(spark, folder):
     return personal.report(table(spark, folder, "documents"))
 
 
+@query()
+def op2_leaks(spark, folder):
+    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query()
 def op3_simhash(spark, folder):
     """Four-word shingles, links at 4 or fewer differing bits."""
