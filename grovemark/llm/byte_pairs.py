@@ -35,8 +35,8 @@ CHUNK_CHARACTERS = 12_000_000  # of text that a task holds at a time; one longer
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 SIMPLE = re.compile(f"[\\t\\n\\r -~{LETTERS}]*\\Z")  # over these characters the standard library's classes are exact
 
-PACKED = "bucket int, chunk long, lengths binary, words binary, counts binary, gaps binary, ids array<long>, sizes binary"
-PLACED = "chunk long, lengths binary, tokens binary, counts binary, gaps binary, ids array<long>, sizes binary"
+PACKED = "bucket int, chunk long, lengths binary, words binary, counts binary, firsts binary, gaps binary, ids array<long>, sizes binary"
+PLACED = "chunk long, lengths binary, tokens binary, counts binary, firsts binary, gaps binary, ids array<long>, sizes binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,7 +98,7 @@ def explode_chunks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int
     split, pack = splitter(pattern), zstandard.ZstdCompressor(level=3).compress
     schema = pa.schema(
         [("bucket", pa.int32()), ("chunk", pa.int64())]
-        + [(name, pa.binary()) for name in ("lengths", "words", "counts", "gaps")]
+        + [(name, pa.binary()) for name in ("lengths", "words", "counts", "firsts", "gaps")]
         + [("ids", pa.list_(pa.int64())), ("sizes", pa.binary())]
     )
     number, part = 0, TaskContext.get().partitionId()
@@ -117,18 +117,19 @@ def explode_chunks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int
         positions = np.argsort(sequence, kind="stable")
         counts = np.bincount(sequence, minlength=len(encoded))
         starts = np.cumsum(counts) - counts
-        gaps = np.diff(positions, prepend=0)
-        gaps[starts] = positions[starts]
-        gap_bytes, gap_sizes = varints(gaps)
+        firsts = positions[starts]  # within a bucket in rising order, as words are numbered by their first position
+        later = np.ones(len(positions), bool)
+        later[starts] = False
+        gap_bytes, gap_sizes = varints(np.diff(positions, prepend=0)[later])
         gap_ends = np.concatenate(([0], np.cumsum(gap_sizes)))
-        out = [(chunk % buckets, chunk, None, None, None, None, ids, np.array([len(s) for s in sequences], np.int64).tobytes())]
+        out = [(chunk % buckets, chunk, None, None, None, None, None, ids, np.array([len(s) for s in sequences], np.int64).tobytes())]
         bounds = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(bounds)):
             a, b = bounds[k], bounds[k + 1]
-            lo, hi = starts[a], starts[b] if b < len(starts) else len(positions)
+            lo, hi = starts[a] - a, (starts[b] if b < len(starts) else len(positions)) - b
             out.append((
                 int(k), chunk, pack(varints(lengths[a:b])[0]), pack(b"".join(encoded[a:b])),
-                pack(varints(counts[a:b])[0]), pack(gap_bytes[gap_ends[lo] : gap_ends[hi]]), None, None,
+                pack(varints(counts[a:b])[0]), pack(varints(np.diff(firsts[a:b], prepend=0))[0]), pack(gap_bytes[gap_ends[lo] : gap_ends[hi]]), None, None,
             ))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
@@ -143,7 +144,7 @@ def explode_chunks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int
             text = text.as_py() or ""
             found = split(text)
             ids.append(key)
-            sequences.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+            sequences.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
             held += len(text)
             if held >= CHUNK_CHARACTERS:
                 yield rows(ids, sequences, words)
@@ -179,8 +180,8 @@ def encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
             tokens.append(pack(b"".join(ids)))
         yield pa.RecordBatch.from_arrays(
             [columns["chunk"], pa.array(lengths, pa.binary()), pa.array(tokens, pa.binary())]
-            + [columns[name] for name in ("counts", "gaps", "ids", "sizes")],
-            names=["chunk", "lengths", "tokens", "counts", "gaps", "ids", "sizes"],
+            + [columns[name] for name in ("counts", "firsts", "gaps", "ids", "sizes")],
+            names=["chunk", "lengths", "tokens", "counts", "firsts", "gaps", "ids", "sizes"],
         )
 
 
@@ -190,21 +191,25 @@ def assemble(rows: pd.DataFrame) -> pd.DataFrame:
     head = rows[rows["sizes"].notna()].iloc[0]
     body = rows[rows["sizes"].isna()]
     read = lambda name: np.concatenate([np.zeros(0, np.int64), *(from_varints(unpack(x)) for x in body[name])])
-    lengths, counts, gaps = read("lengths"), read("counts"), read("gaps")
+    lengths, counts = read("lengths"), read("counts")
     tokens = np.frombuffer(b"".join(unpack(x) for x in body["tokens"]), "<u4")
-    firsts = np.cumsum(counts) - counts
-    run = np.cumsum(gaps)
-    positions = run - np.repeat(run[firsts] - gaps[firsts], counts)
-    word_at = np.empty(len(positions), np.int64)
-    word_at[positions] = np.repeat(np.arange(len(counts)), counts)
-    starts, sizes = np.cumsum(lengths) - lengths, lengths[word_at]
-    stream = tokens[gathered(starts[word_at], sizes)].tobytes()
-    ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(np.frombuffer(head["sizes"], np.int64))] * 4
-    bounds = [0, *ends.tolist()]
-    return pd.DataFrame({
-        "doc_id": pd.array(list(head["ids"]), dtype="Int64"),
-        "ids": [stream[a:b] for a, b in zip(bounds, bounds[1:])],
-    })
+    heads = np.cumsum(counts) - counts
+    firsts = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(from_varints(unpack(x))) for x in body["firsts"])])
+    steps = np.empty(int(counts.sum()), np.int32)
+    later = np.ones(len(steps), bool)
+    later[heads] = False
+    steps[heads], steps[later] = firsts, read("gaps")
+    run = np.cumsum(steps, dtype=np.int64)
+    positions = run - np.repeat(run[heads] - firsts, counts)
+    word_at = np.empty(len(positions), np.int32)
+    word_at[positions] = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    del steps, later, run, positions
+    starts, ends = np.cumsum(lengths) - lengths, np.cumsum(np.frombuffer(head["sizes"], np.int64))
+    ids = []
+    for end, size in zip(ends.tolist(), np.frombuffer(head["sizes"], np.int64).tolist()):
+        at = word_at[end - size : end]
+        ids.append(tokens[gathered(starts[at], lengths[at])].tobytes())
+    return pd.DataFrame({"doc_id": pd.array(list(head["ids"]), dtype="Int64"), "ids": ids})
 
 
 def encode(
