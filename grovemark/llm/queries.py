@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grovemark.catalog.registry import Entry, registrar, table
-from grovemark.llm import byte_pairs, languages, leaks, lines, personal, quality, ring, simhash
+from grovemark.llm import byte_pairs, languages, leaks, lines, neighbours, personal, quality, ring, simhash
 from grovemark.llm.folds import fold
 
 ENTRIES: dict[str, Entry] = {}
@@ -39,6 +39,12 @@ def op5_ring(spark, folder):
     )
 
 
+@query()
+def op6_neighbours(spark, folder):
+    """Queries are the rows whose vec_id is divisible by 20; all rows are candidates."""
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 @query()
 def op7_byte_pairs(spark, folder):
     return byte_pairs.digests(table(spark, folder, "documents"))
