@@ -1,7 +1,64 @@
-"""A corpus pipeline: quality, repeated lines, near copies, benchmark leaks, tokens."""
+"""A corpus pipeline: quality, repeated lines, near copies, benchmark leaks, tokens.
+
+Each stage takes what its predecessor kept and returns it with the columns of documents; the last returns token digests.
+"""
 
 from __future__ import annotations
 
-from grovemark.catalog.registry import Entry
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grovemark.catalog.registry import Entry, table
+from grovemark.llm import byte_pairs, leaks, lines, quality, simhash
+from grovemark.session import cut
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on all labels, does not reject."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return quality.score(docs, model, threshold=0.3).filter("predicted = 1").select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that match an earlier line; n_chars follows the text."""
+    made = lines.dedup_lines(docs, threshold=0.8, min_words=5)
+    return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return simhash.one_of_each(docs, similarity=0.8, words=5)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    row = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
+    found = leaks.find_leaks(docs.withColumn("_row", row), table(spark, sf_dir, "benchmark"), key="_row")
+    held = cut(found.select(F.col("doc_id").alias("_held")).distinct())
+    return docs.join(held, row == F.col("_held"), "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every text and the bytes that they decode to, as digests."""
+    return byte_pairs.digests(docs)
+
+
+STAGES = [
+    ("quality", good_documents),
+    ("lines", without_repeated_lines),
+    ("near copies", without_near_copies),
+    ("leaks", without_leaks),
+    ("tokens", tokens),
+]
+ORACLE_SQL = None  # the fitted classifier and the tokenizer have no SQL form; tests/llm compares with plain Python
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+    return docs
+
 
-ENTRIES: dict[str, Entry] = {}
+ENTRIES = {"pipeline": Entry(run, ORACLE_SQL)}

@@ -93,6 +93,51 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def packed_positions(encoded: list[bytes], sequence: np.ndarray, buckets: int, pack):
+    """The words of a chunk ordered by bucket, the sequence in these numbers, and for each bucket that has words
+    (bucket, first word, end word, counts, firsts, gaps): how often and where its words stand, packed.
+    """
+    bucket = np.fromiter((zlib.crc32(word) % buckets for word in encoded), np.int64, len(encoded))
+    by_bucket = np.argsort(bucket, kind="stable")
+    place = np.empty(len(encoded), np.int64)
+    place[by_bucket] = np.arange(len(encoded))
+    encoded = [encoded[k] for k in by_bucket]
+    sequence = place[sequence]
+    positions = np.argsort(sequence, kind="stable")
+    counts = np.bincount(sequence, minlength=len(encoded))
+    starts = np.cumsum(counts) - counts
+    firsts = positions[starts]  # within a bucket in rising order, as words are numbered by their first position
+    later = np.ones(len(positions), bool)
+    later[starts] = False
+    gap_bytes, gap_sizes = varints(np.diff(positions, prepend=0)[later])
+    gap_ends = np.concatenate(([0], np.cumsum(gap_sizes)))
+    bounds, out = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1)), []
+    for k in np.flatnonzero(np.diff(bounds)).tolist():
+        a, b = int(bounds[k]), int(bounds[k + 1])
+        lo, hi = starts[a] - a, (starts[b] if b < len(starts) else len(positions)) - b
+        first = varints(np.diff(firsts[a:b], prepend=0))[0]
+        out.append((k, a, b, pack(varints(counts[a:b])[0]), pack(first), pack(gap_bytes[gap_ends[lo] : gap_ends[hi]])))
+    return encoded, sequence, out
+
+
+def word_numbers(counts: list[bytes], firsts: list[bytes], gaps: list[bytes]) -> np.ndarray:
+    """The word at each position, words numbered through the buckets in the order given."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    read = lambda packed: np.concatenate([np.zeros(0, np.int64), *(from_varints(unpack(x)) for x in packed)])
+    n = read(counts)
+    heads = np.cumsum(n) - n
+    first = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(from_varints(unpack(x))) for x in firsts)])
+    steps = np.empty(int(n.sum()), np.int32)
+    later = np.ones(len(steps), bool)
+    later[heads] = False
+    steps[heads], steps[later] = first, read(gaps)
+    run = np.cumsum(steps, dtype=np.int64)
+    positions = run - np.repeat(run[heads] - first, n)
+    out = np.empty(len(positions), np.int32)
+    out[positions] = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    return out
+
+
 def explode_chunks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
     """The words of each chunk with their positions, packed by the bucket of the word, and one row with its documents."""
     split, pack = splitter(pattern), zstandard.ZstdCompressor(level=3).compress
@@ -105,32 +150,11 @@ def explode_chunks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int
 
     def rows(ids, sequences, words) -> pa.RecordBatch:
         chunk = (part << 32) | number
-        sequence = np.concatenate(sequences)
-        encoded = [word.encode() for word in words]
-        bucket = np.fromiter((zlib.crc32(word) % buckets for word in encoded), np.int64, len(encoded))
-        by_bucket = np.argsort(bucket, kind="stable")
-        place = np.empty(len(encoded), np.int64)
-        place[by_bucket] = np.arange(len(encoded))
-        encoded = [encoded[k] for k in by_bucket]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        sequence = place[sequence]
-        positions = np.argsort(sequence, kind="stable")
-        counts = np.bincount(sequence, minlength=len(encoded))
-        starts = np.cumsum(counts) - counts
-        firsts = positions[starts]  # within a bucket in rising order, as words are numbered by their first position
-        later = np.ones(len(positions), bool)
-        later[starts] = False
-        gap_bytes, gap_sizes = varints(np.diff(positions, prepend=0)[later])
-        gap_ends = np.concatenate(([0], np.cumsum(gap_sizes)))
         out = [(chunk % buckets, chunk, None, None, None, None, None, ids, np.array([len(s) for s in sequences], np.int64).tobytes())]
-        bounds = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-        for k in np.flatnonzero(np.diff(bounds)):
-            a, b = bounds[k], bounds[k + 1]
-            lo, hi = starts[a] - a, (starts[b] if b < len(starts) else len(positions)) - b
-            out.append((
-                int(k), chunk, pack(varints(lengths[a:b])[0]), pack(b"".join(encoded[a:b])),
-                pack(varints(counts[a:b])[0]), pack(varints(np.diff(firsts[a:b], prepend=0))[0]), pack(gap_bytes[gap_ends[lo] : gap_ends[hi]]), None, None,
-            ))
+        encoded, _, packed = packed_positions([word.encode() for word in words], np.concatenate(sequences), buckets, pack)
+        for k, a, b, counts, firsts, gaps in packed:
+            lengths = np.fromiter(map(len, encoded[a:b]), np.int64, b - a)
+            out.append((k, chunk, pack(varints(lengths)[0]), pack(b"".join(encoded[a:b])), counts, firsts, gaps, None, None))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     def fresh():
@@ -190,20 +214,9 @@ def assemble(rows: pd.DataFrame) -> pd.DataFrame:
     unpack = zstandard.ZstdDecompressor().decompress
     head = rows[rows["sizes"].notna()].iloc[0]
     body = rows[rows["sizes"].isna()]
-    read = lambda name: np.concatenate([np.zeros(0, np.int64), *(from_varints(unpack(x)) for x in body[name])])
-    lengths, counts = read("lengths"), read("counts")
+    lengths = np.concatenate([np.zeros(0, np.int64), *(from_varints(unpack(x)) for x in body["lengths"])])
     tokens = np.frombuffer(b"".join(unpack(x) for x in body["tokens"]), "<u4")
-    heads = np.cumsum(counts) - counts
-    firsts = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(from_varints(unpack(x))) for x in body["firsts"])])
-    steps = np.empty(int(counts.sum()), np.int32)
-    later = np.ones(len(steps), bool)
-    later[heads] = False
-    steps[heads], steps[later] = firsts, read("gaps")
-    run = np.cumsum(steps, dtype=np.int64)
-    positions = run - np.repeat(run[heads] - firsts, counts)
-    word_at = np.empty(len(positions), np.int32)
-    word_at[positions] = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-    del steps, later, run, positions
+    word_at = word_numbers(list(body["counts"]), list(body["firsts"]), list(body["gaps"]))
     starts, ends = np.cumsum(lengths) - lengths, np.cumsum(np.frombuffer(head["sizes"], np.int64))
     ids = []
     for end, size in zip(ends.tolist(), np.frombuffer(head["sizes"], np.int64).tolist()):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grovemark.catalog.registry import Entry, registrar, table
-from grovemark.llm import byte_pairs, languages, leaks, lines, neighbours, personal, quality, ring, simhash
+from grovemark.llm import byte_pairs, languages, leaks, lines, neighbours, personal, quality, restaurants, ring, simhash
 from grovemark.llm.folds import fold
 
 ENTRIES: dict[str, Entry] = {}
@@ -30,6 +30,11 @@ def op3_simhash(spark, folder):
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query()
+def op4_restaurants(spark, folder):
+    return restaurants.score(table(spark, folder, "documents"), fold("doc_id", 7) == 2)
+
+
 @query()
 def op5_ring(spark, folder):
     """Eight shards on a ring without slack, so that the numbers of rows differ by one at most."""

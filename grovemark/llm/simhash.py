@@ -72,7 +72,7 @@ def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, width: int = 1) -> DataFrame:
-    """(doc_id, f0, ...): `width` numbers of 64 bits for each document; f0 is from the XXH64 with seed 42."""
+    """(doc_id, row, f0, ...): `width` numbers of 64 bits for each document; f0 is from the XXH64 with seed 42."""
     names = [f"f{k}" for k in range(width)]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
                 for k, column in enumerate(columns):
                     column.append(majority_bits(remixed(flat, k), sizes))
 
-            for value in batch.column(1):
+            for value in batch.column(2):
                 held.append(np.array(shingle_hashes(value.as_py(), words, 42), np.uint64))
                 count += len(held[-1])
                 if count >= 100_000:  # shingles unpacked at a time
@@ -95,10 +95,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
             if held:
                 close()
             arrays = [pa.array(np.concatenate(column).view(np.int64)) for column in columns]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "row", *names])
 
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(made, "doc_id long, " + ", ".join(f"{name} long" for name in names))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("row"), body.alias("text"))
+    return narrow.mapInArrow(made, "doc_id long, row long, " + ", ".join(f"{name} long" for name in names))
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -333,9 +334,10 @@ def fingerprint_links(distinct: DataFrame, bits: int = 4, wide_bits: int = 256)
 def near_copies(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4, width: int = 1, wide_bits: int = 256
 ) -> DataFrame:
-    """(doc_id, f0, component_id): component_id is the smallest doc_id that links reach.
+    """(doc_id, row, f0, component, component_id): component_id is the smallest doc_id that links reach.
 
-    With width > 1 a link also needs at most wide_bits differing bits in all 64 * width.
+    With width > 1 a link also needs at most wide_bits differing bits in all 64 * width. component is never null and tells
+    components apart; row is the hash of the text.
     """
     names = [f"f{k}" for k in range(width)]
     node = F.col("f0") if width == 1 else F.xxhash64(*names)
@@ -343,7 +345,34 @@ def near_copies(
     distinct = cut(made.groupBy("node", *names).agg(F.min("doc_id").alias("least")))
     links = fingerprint_links(distinct.select("node", *names), bits, wide_bits)
     roots = components(cut(links.distinct()))
-    nodes = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    nodes = cut(nodes)
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return made.join(nodes.join(least, "root").select("node", "component_id"), "node").select("doc_id", "f0", "component_id")
+    nodes = distinct.select("node", "least").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
+    nodes = cut(nodes.drop("root"))
+    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = nodes.join(least, "component").select("node", "component", "component_id")
+    return made.join(named, "node").select("doc_id", "row", "f0", "component", "component_id")
+
+
+def bits_for(similarity: float, size: int) -> int:
+    """The differing bits to expect of `size` where the shingle sets have this Jaccard similarity and equal sizes."""
+    cosine = 2 * similarity / (1 + similarity)
+    return round(size * math.acos(cosine) / math.pi)
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """docs without near copies: of each component the row with the smallest id stays, then the smallest hash of its text.
+
+    Fingerprints have 256 bits and link at the number of differing bits that the similarity stands for, with a slack of
+    one in the first 64 and four in all, so that pairs at the border are found more often than not.
+    """
+    bits, wide_bits = bits_for(similarity, 64) + 1, bits_for(similarity, 256) + 4
+    found = near_copies(docs, key, text, words, bits, 4, wide_bits)
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("stays"))
+    stays = cut(first.select(F.col("stays.doc_id").alias("_doc"), F.col("stays.row").alias("_row")))
+    row = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    same = F.col(key).cast("long").eqNullSafe(F.col("_doc")) & (row == F.col("_row"))
+    kept = docs.join(stays, same, "left_semi")
+    # Rows that agree in id and text are copies of each other too.
+    again = kept.groupBy(F.col(key).cast("long").alias("_doc"), row.alias("_row")).count().filter("count > 1")
+    if again.isEmpty():
+        return kept
+    return kept.withColumn("_row", row).dropDuplicates([key, "_row"]).drop("_row")
