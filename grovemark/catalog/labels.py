@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import functions as F
 
 from grovemark.catalog.registry import Entry, registrar, table
@@ -302,11 +300,7 @@ def dense_row_ids(spark, folder):
     return sampling.dense_ids(orders, ["o_custkey", "o_orderkey"], "row_id").select("o_orderkey", "row_id")
 
 
-@query(
-    """SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH'
-    UNION ALL SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01'"""
-)
+@query("SELECT o_orderkey AS key FROM orders UNION ALL SELECT c_custkey AS key FROM customer")
 def append_rows(spark, folder):
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
-    urgent = orders.filter("o_orderpriority = '2-HIGH'").select("o_orderkey")
-    return urgent.unionByName(orders.filter(F.col("o_orderdate") < datetime.datetime(1995, 1, 1)).select("o_orderkey"))
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("key"))
+    return orders.unionByName(table(spark, folder, "customer").select(F.col("c_custkey").alias("key")))

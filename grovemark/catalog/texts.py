@@ -8,7 +8,6 @@ from grovemark.catalog.registry import Entry, registrar, table
 from grovemark.functions import text as T
 from grovemark.operators import audit, flat, vectors
 from grovemark.operators.classes import keep_listed
-from grovemark.session import spread
 from grovemark.sources.articles import read_table
 
 ENTRIES: dict[str, Entry] = {}
@@ -16,7 +15,7 @@ query = registrar(ENTRIES)
 
 DIMENSIONS = 8
 
-# The tokeniser as a chain of regular expressions, and the tables most statements start from.
+# The character sets below define the tokeniser. The tables are those most statements start from.
 SQL_TOKENS = r"""list_filter(string_split_regex(regexp_replace(regexp_replace(lower({0}), '["/\\'']', '', 'g'),
   '[.,?;*!%^&_+():<=>@\[\]{{}}]', '', 'g'),
   '[\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'),
@@ -30,7 +29,7 @@ vectors AS (SELECT word, list_transform(range(1, {DIMENSIONS + 1}), lambda i: as
 
 
 def tokenised(spark, folder, name="documents", key="doc_id"):
-    return spread(table(spark, folder, name).select(key, "text"), key).select(key, T.tokens(F.col("text")).alias("tokens"))
+    return table(spark, folder, name).select(key, T.tokens(F.col("text")).alias("tokens"))
 
 
 def word_vectors(spark, folder):
@@ -240,11 +239,10 @@ def mean_word_vectors(spark, folder):
     f"""WITH raw AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations),
     {SQL_WORDS.strip()},
     keys AS (SELECT conv_id * 1000 + turn AS id FROM conversations),
-    sums AS (SELECT conv_id * 1000 + turn AS id, count(*) AS n, avg(vec[1]) AS a1, avg(vec[8]) AS a8
-      FROM raw JOIN vectors USING (word) GROUP BY ALL)
+    sums AS (SELECT conv_id * 1000 + turn AS id, count(*) AS n,
+      {", ".join(f"avg(vec[{i}]) AS a{i}" for i in range(1, DIMENSIONS + 1))} FROM raw JOIN vectors USING (word) GROUP BY ALL)
     SELECT id, CAST(coalesce(n, 0) AS BIGINT) AS n_words,
-      coalesce(round(CAST(CAST(a1 AS FLOAT) AS DOUBLE), 3), 0) AS first,
-      coalesce(round(CAST(CAST(a8 AS FLOAT) AS DOUBLE), 3), 0) AS last
+      {", ".join(f"coalesce(round(CAST(CAST(a{i} AS FLOAT) AS DOUBLE), 3), 0) AS v{i}" for i in range(1, DIMENSIONS + 1))}
     FROM keys LEFT JOIN sums USING (id)"""
 )
 def mean_vectors_of_raw_tokens(spark, folder):
@@ -252,9 +250,5 @@ def mean_vectors_of_raw_tokens(spark, folder):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.split("text", " ").alias("tokens")
     )
     means = vectors.mean_vectors(turns, "id", "tokens", word_vectors(spark, folder), DIMENSIONS)
-    return means.select(
-        "id",
-        F.col("n_words").cast("long").alias("n_words"),
-        F.round(F.get("vec", F.lit(0)).cast("double"), 3).alias("first"),
-        F.round(F.get("vec", F.lit(DIMENSIONS - 1)).cast("double"), 3).alias("last"),
-    )
+    parts = [F.round(F.get("vec", F.lit(i)).cast("double"), 3).alias(f"v{i + 1}") for i in range(DIMENSIONS)]
+    return means.select("id", F.col("n_words").cast("long").alias("n_words"), *parts)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovemark.functions.labels import in_subtree
-from grovemark.session import fits, label_join
+from grovemark.session import HOT_ROWS, cut, fits, label_join, lookup_join
 
 # Up to this many listed values are put into the plan as a hashed set; more are joined.
 MAX_INLINE_VALUES = 10_000
@@ -71,11 +71,14 @@ def without_class(documents: DataFrame, label: str, ui: str) -> DataFrame:
 
 
 def keep_listed(
-    df: DataFrame, key: str, items: str, listed: DataFrame, keep: bool = True, max_inline: int = MAX_INLINE_VALUES
+    df: DataFrame, key: str, items: str, listed: DataFrame, keep: bool = True, max_inline: int = MAX_INLINE_VALUES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Keep (or drop) the array items found in a one-column table; order and repeats stay.
+    """Keep (or drop) the array items found in a one-column table; order and repeats stay, and every row stays a row.
 
-    A short list becomes a hashed set inside the projection; a long one is joined to the exploded items.
+    A null item is in no list: it goes when listed items are kept and stays when they are dropped. A short list becomes a
+    hashed set inside the projection; a long one is joined to the exploded items, frequent ones apart from the others.
+    Both give the same result. key names the record; rows that share it are rows of their own.
     """
     if items not in df.columns or key not in df.columns:
         raise ValueError(f"{key} and {items} must be columns")
@@ -85,19 +88,16 @@ def keep_listed(
         inline = [row[0] for row in values.collect()]
         if keep:
             return df.withColumn(items, F.filter(items, lambda x: x.isin(inline)))
-        return df.withColumn(items, F.filter(items, lambda x: ~x.isin(inline)))
-    exploded = df.select(key, F.posexplode(items).alias("_pos", "_item"))
-    kind = "left_semi" if keep else "left_anti"
-    kept = exploded.join(values.withColumnRenamed(value, "_item"), "_item", kind)
-    packed = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_item"))).alias("_kept"))
-    item_type = df.schema[items].dataType
-    nothing = F.array().cast(item_type)
+        return df.withColumn(items, F.filter(items, lambda x: x.isNull() | ~x.isin(inline)))
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    exploded = rows.select("_row", F.posexplode(items).alias("_pos", "_item"))
+    listing = cut(values.select(F.col(value).alias("_item"), F.lit(True).alias("_listed")))
+    marked = lookup_join(exploded, listing, "_item", "left", hot_rows)
+    kept = marked.filter(F.coalesce("_listed", F.lit(False)) == F.lit(keep))
+    packed = kept.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "_item"))).alias("_kept"))
+    nothing = F.array().cast(df.schema[items].dataType)
     restored = F.coalesce(F.transform("_kept", lambda s: s["_item"]), nothing)
-    return (
-        df.join(packed, key, "left")
-        .withColumn(items, F.when(F.col(items).isNotNull(), restored))
-        .drop("_kept")
-    )
+    return rows.join(packed, "_row", "left").withColumn(items, F.when(F.col(items).isNotNull(), restored)).select(*df.columns)
 
 
 def restrict_headings(articles: DataFrame, key: str, headings: str, wanted: DataFrame) -> DataFrame:

@@ -13,12 +13,21 @@ from grovemark.functions.text import tokens_in_class, tokens_outside
 def bisecting_k_means(
     documents: DataFrame, vec: str, k: int, seed: int = 0, distance: str = "cosine", max_iter: int = 20
 ) -> DataFrame:
-    """Add prediction, the cluster of each document. A zero vector has no cosine and cannot be clustered by it."""
-    features = documents.withColumn("_features", array_to_vector(F.col(vec).cast("array<double>")))
+    """Add prediction, the cluster of each document.
+
+    By cosine a zero vector belongs nowhere: its prediction is null, and it does not take part. Null vectors do not either.
+    """
+    taken = F.col(vec).isNotNull()
+    if distance == "cosine":
+        taken = taken & F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False))
+    apart = documents.filter(~taken).withColumn("prediction", F.lit(None).cast("int"))
+    features = documents.filter(taken).withColumn("_features", array_to_vector(F.col(vec).cast("array<double>")))
     learner = BisectingKMeans(
         k=k, seed=seed, distanceMeasure=distance, maxIter=max_iter, featuresCol="_features", predictionCol="prediction"
     )
-    return learner.fit(features).transform(features).drop("_features")
+    if features.isEmpty():
+        return apart
+    return learner.fit(features).transform(features).drop("_features").unionByName(apart)
 
 
 def seen_classes(phrases: DataFrame) -> DataFrame:
@@ -47,7 +56,5 @@ def with_true_class(phrases: DataFrame, documents: DataFrame, key: str, document
 
 def out_of_scope_words(phrases: DataFrame, class_id: int = 1) -> DataFrame:
     """(word): every token that some phrase does not list under the class."""
-    from grovemark.functions.text import tokens_in_class, tokens_outside
-
     inside = tokens_in_class(F.col("tokens"), F.col("index"), class_id)
     return phrases.select(F.explode(tokens_outside(F.col("tokens"), inside)).alias("word")).distinct()

@@ -18,6 +18,11 @@ def class_totals(documents: DataFrame, label: str) -> DataFrame:
     return documents.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def totals_of_counts(counts: DataFrame) -> DataFrame:
+    """(class, n): class totals of a contingency table, without another look at the documents."""
+    return counts.groupBy("class").agg(F.sum("n").alias("n"))
+
+
 def node_precision(counts: DataFrame) -> DataFrame:
     """(node, n, majority, precision): the share of the largest class in each node with documents."""
     named = F.when(F.col("class").isNotNull(), F.col("n"))

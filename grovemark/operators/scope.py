@@ -29,8 +29,10 @@ def fit_linear_svm(
     """A linear support vector machine with penalty c per row (the sum of losses is turned into a mean)."""
     rows = cut(with_features(training, vec).select("features", F.col(label).cast("double").alias("label")))
     n = rows.count()
+    if n == 0:
+        raise ValueError("there are no training rows")
     # Every step of the optimiser is a job, so a small training set should not be many tasks.
-    rows = rows.coalesce(math.ceil(n / ROWS_PER_TASK)) if n else rows
+    rows = rows.coalesce(math.ceil(n / ROWS_PER_TASK))
     return LinearSVC(
         regParam=1.0 / (c * n), maxIter=max_iter, tol=tol, standardization=False, fitIntercept=True
     ).fit(rows)
@@ -53,9 +55,15 @@ def test_scores(model: LinearSVCModel, test: DataFrame, vec: str, label: str) ->
 
 
 def _scores_of_each(names: list[int], name: str, trainings: list[DataFrame], test: DataFrame, vec: str, label: str) -> DataFrame:
-    """One row of test scores per training set. The fits do not depend on each other, so their jobs overlap."""
+    """One row of test scores per training set. The fits do not depend on each other, so their jobs overlap.
+
+    A training set with one class only predicts that class for every row.
+    """
 
     def scored(training: DataFrame) -> DataFrame:
+        classes = [row[0] for row in training.select(F.col(label).cast("double")).distinct().limit(2).collect()]
+        if len(classes) == 1:
+            return binary_scores(confusion(test.withColumn("prediction", F.lit(classes[0])), label, "prediction"))
         return test_scores(fit_linear_svm(training, vec, label), test, vec, label)
 
     with ThreadPoolExecutor(MAX_PARALLEL_FITS) as pool:

@@ -177,7 +177,12 @@ def node_class_counts(documents: DataFrame, cluster: str, label: str, leaves: Da
     The documents are counted by cluster and class first, so only that small table meets the tree.
     leaves(node, cluster_id) names the leaf of each cluster, below(node, leaf) is the result of under().
     """
-    counted = contingency(documents, cluster, label).withColumnRenamed("node", "cluster_id")
+    return counts_below(contingency(documents, cluster, label), leaves, below)
+
+
+def counts_below(counts: DataFrame, leaves: DataFrame, below: DataFrame) -> DataFrame:
+    """node_class_counts from the contingency table of the clusters."""
+    counted = counts.withColumnRenamed("node", "cluster_id")
     by_leaf = counted.join(leaves.withColumnRenamed("node", "leaf"), "cluster_id")
     return by_leaf.join(below, "leaf").groupBy("node", "class").agg(F.sum("n").alias("n"))
 

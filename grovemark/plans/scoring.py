@@ -22,8 +22,8 @@ def score_merge_tree(
     edges = cut(tree.cut_edges(merges, n_leaves, n_clusters))
     leaves = tree.cut_leaves(merges, n_leaves, n_clusters)
     below = tree.under(edges, tree.tree_closure(edges))
-    counts = tree.node_class_counts(documents, cluster, label, leaves, below)
-    totals = metrics.class_totals(documents, label)
+    counted = cut(tree.contingency(documents, cluster, label))
+    counts, totals = tree.counts_below(counted, leaves, below), metrics.totals_of_counts(counted)
     root = 2 * n_leaves - 2
     return metrics.tree_report(counts, totals, closure, root, leaves if leaves_only else None)
 
@@ -45,15 +45,15 @@ def score_external_tree(
     below = tree.under(edges, tree.tree_closure(edges))
     placed = flat.assign_to_leaves(phrases, leaves)
     labelled = flat.with_true_class(placed, documents, "id", document_key, label)
-    counts = tree.node_class_counts(labelled, "cluster_id", label, leaves, below)
-    totals = metrics.class_totals(labelled, label)
+    counted = cut(tree.contingency(labelled, "cluster_id", label))
+    counts, totals = tree.counts_below(counted, leaves, below), metrics.totals_of_counts(counted)
     return metrics.tree_report(counts, totals, closure, root, leaves if leaves_only else None)
 
 
 def score_flat_clusters(documents: DataFrame, cluster: str, label: str, closure: DataFrame | None = None) -> DataFrame:
     """One row with f: with a closure descendants count for their class, without one they do not."""
     counts = cut(tree.contingency(documents, cluster, label))
-    totals = metrics.class_totals(documents, label)
+    totals = metrics.totals_of_counts(counts)
     if closure is None:
         return metrics.plain_f(counts, totals)
     return metrics.hierarchical_f(counts, totals, closure)

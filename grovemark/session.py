@@ -41,12 +41,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows over all cores when they come from fewer files than there are cores; else leave them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def hot_hashes(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[int]:
     """Hashes of the hot keys of df: never more than HOT_SHARE values."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("hash")).agg(F.count(F.lit(1)).alias("n"))

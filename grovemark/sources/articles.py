@@ -17,7 +17,7 @@ ARTICLE_XML = f"""
     DateRevised: {DATE},
     Article: struct<
       ArticleTitle: string,
-      Abstract: struct<AbstractText: array<struct<_VALUE: string>>>
+      Abstract: struct<AbstractText: array<string>>
     >,
     MeshHeadingList: struct<MeshHeading: array<struct<DescriptorName: struct<_UI: string>>>>
   >
@@ -27,7 +27,7 @@ ARTICLE_XML = f"""
 def read_article_xml(spark: SparkSession, path: str) -> DataFrame:
     """(PMID, DateCompleted, Title, Abstract, MeshList), one row per record, nothing filtered.
 
-    Abstract is the first part only; MeshList holds the class identifiers in the order of the record.
+    Abstract is the first part only, with the inline markup it has in the record; MeshList holds the class identifiers in the order of the record.
     """
     raw = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE_XML).load(path)
     citation = raw.select("MedlineCitation.*")
@@ -36,7 +36,7 @@ def read_article_xml(spark: SparkSession, path: str) -> DataFrame:
         F.col("PMID._VALUE").alias("PMID"),
         completion_date(F.col("DateCompleted"), F.col("DateRevised")).alias("DateCompleted"),
         clean_title(F.col("Article.ArticleTitle")).alias("Title"),
-        first_part(F.col("Article.Abstract.AbstractText")).getField("_VALUE").alias("Abstract"),
+        first_part(F.col("Article.Abstract.AbstractText")).alias("Abstract"),
         F.transform(headings, lambda h: h["DescriptorName"]["_UI"]).alias("MeshList"),
     )
 

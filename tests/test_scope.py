@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from grovemark.operators import scope
+from grovemark.operators import flat, scope
 from grovemark.plans.corpus import cluster_corpus, discover_stop_words
 
 
@@ -46,3 +47,25 @@ def test_stop_words_and_corpus(spark):
     made = cluster_corpus(articles, "id", vectors, 2, 3, stop)
     groups = {r.id: r.class_predict for r in made.labelled.collect()}
     assert made.n_leaves == 4 and groups[1] == groups[3] and len(set(groups.values())) == 3
+
+
+def test_one_class_and_no_rows(spark):
+    train = points(spark, 30, 1).withColumn("y", F.lit(0))
+    row = scope.scores_by_training_size(train, points(spark, 30, 2), "id", "vec", "y", [10]).first()
+    assert (row.tp, row.fp, row.fn, row.tn) == (0, 0, 10, 20) and row.f1 == 0
+    with pytest.raises(ValueError):
+        scope.fit_linear_svm(train.limit(0), "vec", "y")
+
+
+def test_k_means_on_separable_groups(spark):
+    rng = np.random.default_rng(5)
+    centres = 10 * np.eye(4)
+    rows = [(i, [float(x) for x in centres[i % 4] + 0.1 * rng.normal(size=4)]) for i in range(80)]
+    rows += [(100, [0.0] * 4), (101, None)]
+    table = spark.createDataFrame(rows, "id long, vec array<double>")
+    for distance in ("cosine", "euclidean"):
+        for parts in (1, 5):
+            got = {r.id: r.prediction for r in flat.bisecting_k_means(table.repartition(parts), "vec", 4, distance=distance).collect()}
+            groups = {frozenset(i for i in range(80) if got[i] == c) for c in {got[i] for i in range(80)}}
+            assert groups == {frozenset(range(k, 80, 4)) for k in range(4)} and got[101] is None
+            assert (got[100] is None) == (distance == "cosine")

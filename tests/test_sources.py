@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from grovemark.sources import articles, clusterer, vocabulary, words
@@ -21,7 +22,7 @@ XML = """<PubmedArticleSet>
 <PubmedArticle><MedlineCitation><PMID Version="1">11</PMID>
 <DateCompleted><Year>2019</Year><Month>03</Month><Day>07</Day></DateCompleted>
 <Article><ArticleTitle>[A title].</ArticleTitle>
-<Abstract><AbstractText Label="AIM">first</AbstractText><AbstractText>second</AbstractText></Abstract></Article>
+<Abstract><AbstractText Label="AIM">Gene <i>TCF7L2</i> and H<sub>2</sub>O p &lt; 1 here.</AbstractText><AbstractText>second</AbstractText></Abstract></Article>
 <MeshHeadingList><MeshHeading><DescriptorName UI="D003920">x</DescriptorName></MeshHeading>
 <MeshHeading><DescriptorName UI="D000001">y</DescriptorName></MeshHeading></MeshHeadingList>
 </MedlineCitation></PubmedArticle>
@@ -48,7 +49,7 @@ def test_article_xml(spark, tmp_path):
     (tmp_path / "a.xml").write_text(XML)
     found = articles.read_article_xml(spark, str(tmp_path / "a.xml"))
     rows = sorted(map(tuple, found.collect()))
-    assert rows[0] == ("11", datetime.date(2019, 3, 7), "A title", "first", ["D003920", "D000001"])
+    assert rows[0] == ("11", datetime.date(2019, 3, 7), "A title", "Gene <i>TCF7L2</i> and H<sub>2</sub>O p < 1 here.", ["D003920", "D000001"])
     assert rows[1] == ("12", datetime.date(2020, 4, 8), "No abstract", None, ["D003920"])
     wanted = spark.createDataFrame([("D003920",)], "ui string")
     kept = articles.eligible_articles(found, wanted).collect()
@@ -92,3 +93,13 @@ def test_table_and_text_sinks(spark, tmp_path):
         articles.write_one_line_text(docs, F.concat_ws(" ", "title", "abstract"), str(tmp_path / "x"))
     assert articles.read_table(spark, str(tmp_path / "t"), ["title"]).count() == 1
     assert [r.value for r in spark.read.text(str(tmp_path / "x")).collect()] == ["t ab"]
+
+
+def test_word_vectors_of_one_number(spark, tmp_path):
+    for header in ("", "2 1\n"):
+        path = tmp_path / f"one{len(header)}.txt"
+        path.write_text(f"{header}a 0.5\nb 1.5\n")
+        assert {r.word: r.vec for r in words.read_word_vectors(spark, str(path)).collect()} == {"a": [0.5], "b": [1.5]}
+    (tmp_path / "bad.txt").write_text("a 0.5 1\nb 1.5 2\nc 1\n")
+    with pytest.raises(Exception, match="not a word vector"):
+        words.read_word_vectors(spark, str(tmp_path / "bad.txt")).collect()
