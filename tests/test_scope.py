@@ -59,9 +59,10 @@ def test_one_class_and_no_rows(spark):
 
 def test_k_means_on_separable_groups(spark):
     rng = np.random.default_rng(5)
-    centres = 10 * np.eye(4)
-    rows = [(i, [float(x) for x in centres[i % 4] + 0.1 * rng.normal(size=4)]) for i in range(80)]
-    rows += [(100, [0.0] * 4), (101, None)]
+    angles = [0.2, 0.9, np.pi + 0.2, np.pi + 0.9]  # two pairs of groups, as bisection can part them
+    centres = 10 * np.array([[np.cos(a), np.sin(a)] for a in angles])
+    rows = [(i, [float(x) for x in centres[i % 4] + 0.1 * rng.normal(size=2)]) for i in range(80)]
+    rows += [(100, [0.0] * 2), (101, None)]
     table = spark.createDataFrame(rows, "id long, vec array<double>")
     for distance in ("cosine", "euclidean"):
         for parts in (1, 5):
