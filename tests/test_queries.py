@@ -16,7 +16,7 @@ def test_same_rows_as_sql(spark, name):
     assert difference(queries()[name](spark, FOLDER), connect(FOLDER), oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", ["average_linkage_scores", "bisecting_k_means", "word_scope_stop_words"])
+@pytest.mark.parametrize("name", ["average_linkage_scores", "bisecting_k_means", "word_scope_stop_words", "annotation_rounds", "scores_by_training_size", "linear_svm_scores"])
 def test_returns_rows(spark, name):
     assert queries()[name](spark, FOLDER).count() > 0
 
