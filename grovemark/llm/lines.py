@@ -5,15 +5,15 @@ their sets is at least `threshold`; a line goes if it matches an earlier line of
 (doc_id, hash of the text, line number). Each distinct set is joined once: its first line stands for it, and all later
 lines with the same set go.
 
-Words of a set are ordered by rarity, the rarest first. A set of n words is filed under its first n - ceil(t n) + 1
-words; two sets that match share one of these. A pair is a candidate if the sizes allow it (t |x| <= |y|), if enough words
-can still follow the shared one in both orders (the positional filter), and if 64-bit summaries of the sets do not rule it
-out. Candidates are verified on the whole sets. Rarity is the count over all documents of the words that fall in the same
+Words of a set are ordered by rarity, the rarest first. A set of n words is filed under its first n - ceil(t n) + 2
+words; two sets that match share two of these. A pair is a candidate if it does, if the sizes allow it (t |x| <= |y|),
+if enough words can still follow the shared ones in both orders (the positional filter), and if two 64-bit summaries of the
+sets do not rule it out. Candidates are verified on the whole sets. Rarity is the count over all documents of the words that fall in the same
 of 2^17 hash cells: any fixed order gives the same matches, and the counts are a table of constant size.
 
 Keys that a sample of the sets shows to be frequent, as in a family of near copies, take another road with the same
 result: their sets are cut into tiles of bounded size, and a tile only asks of each set whether an earlier one matches, so
-it gives no pairs. The sample decides the road, never the result.
+it gives no pairs; one shared frequent word is enough there. The sample decides the road, never the result.
 
 Defined cases: lines with fewer than `min_words` distinct words stay and match nothing; a null text stays null; an empty
 text stays empty; texts and lines of any length are taken whole; rows that agree in doc_id and text are treated alike;
@@ -22,6 +22,8 @@ null ids come first; other columns are kept as they are.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +31,21 @@ from grovemark.session import cut, fits
 
 CELL_BITS = 17
 SAMPLE = 16  # one set in so many is counted to find frequent keys
-HOT_IN_SAMPLE = 6
+HOT_IN_SAMPLE = 64
+SHARED = 2  # words that two prefixes must share; a match of sets of five words has four in common
 TILE_ROWS = 512
 MAX_BROADCAST_ROWS = 200_000  # of two numbers and a short list each
-PLACE = "struct<doc:bigint,row:bigint,line_no:int>"
+SPACES = "[ \\t\\r\\n\\x0b\\x0c]+"
 
 
 def words_of(line: Column) -> Column:
     """The words of a line; the set of them is array_distinct of it."""
-    return F.filter(F.split(F.translate(F.lower(line), "\t\r\n\x0b\x0c", "     "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), SPACES), "")
 
 
 def cell_ranks(docs: DataFrame, text: str) -> Column:
     """The rarity of each hash cell (twice the logarithm of its count) as an array literal of constant size."""
-    word = F.explode(F.split(F.translate(F.lower(F.col(text)), "\t\r\n\x0b\x0c", "     "), " "))
+    word = F.explode(F.split(F.lower(F.col(text)), SPACES))
     cell = F.pmod(F.xxhash64("word"), F.lit(1 << CELL_BITS)).cast("int")
     counts = docs.select(word.alias("word")).filter("word <> ''").groupBy(cell.alias("cell")).count()
     ranks = ["0"] * (1 << CELL_BITS)
@@ -52,7 +55,7 @@ def cell_ranks(docs: DataFrame, text: str) -> Column:
 
 
 def representatives(docs: DataFrame, key: str, text: str, threshold: float, min_words: int) -> DataFrame:
-    """(sig, n, bits, prefix, place) of each distinct word set, where place is its first line; a table."""
+    """(sig, n, bits0, bits1, prefix, place) of each distinct word set, where place is its first line; a table."""
     ranks = cell_ranks(docs, text)
     named = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("body"))
     lines = named.select("doc", "row", F.posexplode(F.split("body", "\n", -1)).alias("line_no", "line"))
@@ -67,31 +70,47 @@ def representatives(docs: DataFrame, key: str, text: str, threshold: float, min_
         F.sort_array(F.transform(F.array_distinct(words_of(F.col("line"))), rank_first)).alias("words"),
     ).withColumn("n", F.size("words"))
     enough = F.col("n") >= min_words
-    length = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(w, F.lit(64)).cast("int"))))
+    length = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + shared_words(threshold, min_words)).cast("int")
+
+    def summary(k: int) -> Column:
+        """64 bits, of which each word sets one."""
+        place = lambda w: F.shiftright(w, k).bitwiseAND(F.lit(63)).cast("int")
+        bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), place(w))
+        return F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(bit(w)))
+
+    # 31 bits of a word's hash are enough to file it under: words that share them are told apart when pairs are verified.
+    prefix = F.transform(F.slice("words", F.lit(1), length), lambda w: F.shiftright(w, 12).bitwiseAND(F.lit(2**31 - 1)).cast("int"))
     sets = sets.select(
         F.when(enough, F.xxhash64("words")).otherwise(F.xxhash64("place", F.lit("short"))).alias("sig"),
         F.when(enough, F.col("n")).otherwise(0).alias("n"),
-        F.when(enough, F.slice("words", F.lit(1), length)).alias("prefix"),
-        F.when(enough, bits).alias("bits"),
+        F.when(enough, prefix).alias("prefix"),
+        F.when(enough, summary(0)).alias("bits0"),
+        F.when(enough, summary(6)).alias("bits1"),
         "place",
     )
-    one = sets.groupBy("sig").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix")))
+    one = sets.groupBy("sig").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "bits0", "bits1", "prefix")))
     return cut(one)
 
 
+def shared_words(threshold: float, min_words: int) -> int:
+    """How many words two prefixes must share: SHARED, but no more than any match has in common."""
+    return max(1, min(SHARED, math.ceil(threshold * min_words - 1e-9)))
+
+
 def entries_of(reps: DataFrame) -> DataFrame:
-    return reps.filter("n > 0").select(F.posexplode("prefix").alias("at", "key"), "sig", "n", "bits")
+    return reps.filter("n > 0").select(F.posexplode("prefix").alias("at", "key"), "sig", "n", "bits0", "bits1")
 
 
-def possible(threshold: float) -> Column:
+def possible(threshold: float, shared: int) -> Column:
     """Whether rows a and b under one key may match: sizes, places of the shared word, summaries."""
-    need = F.expr(f"CEIL((a.n + b.n) * {threshold / (1 + threshold)!r}D - 1e-9)")
-    sizes = F.expr(f"LEAST(a.n, b.n) >= GREATEST(a.n, b.n) * {threshold!r}D - 1e-9")
-    places = F.expr("1 + LEAST(a.n - a.at - 1, b.n - b.at - 1)") + F.expr("LEAST(a.at, b.at)") >= need
-    only_a = F.expr("a.n - bit_count(a.bits & ~b.bits)") >= need
-    only_b = F.expr("b.n - bit_count(b.bits & ~a.bits)") >= need
-    return sizes & places & only_a & only_b
+    need = F.expr(f"(a.n + b.n) * {threshold / (1 + threshold)!r}D - 1e-9D")
+    sizes = F.expr(f"a.n >= b.n * {threshold!r}D - 1e-9D AND b.n >= a.n * {threshold!r}D - 1e-9D")
+    only_a = F.expr("a.n - bit_count(a.bits0 & ~b.bits0)") >= need
+    only_b = F.expr("b.n - bit_count(b.bits0 & ~a.bits0)") >= need
+    more_a, more_b = (F.expr(f"{x}.n - bit_count({x}.bits1 & ~{y}.bits1)") >= need for x, y in (("a", "b"), ("b", "a")))
+    # The first words that two sets share have at most that many shared words before them.
+    places = F.expr(f"LEAST(a.n - a.at, b.n - b.at) + {shared - 1}") >= need
+    return sizes & only_a & only_b & more_a & more_b & places
 
 
 def similar(a: Column, b: Column, threshold: float) -> Column:
@@ -116,27 +135,40 @@ def words_of_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> Da
     return cut(lines.select("one.sig", "one.place", words.alias("words")).dropDuplicates(["sig"]))
 
 
-def matched(docs: DataFrame, reps: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+def matched(docs: DataFrame, reps: DataFrame, key: str, text: str, threshold: float, min_words: int) -> DataFrame:
     """sig of every set whose first line matches an earlier line with another set."""
-    entries = entries_of(reps)
+    entries, shared = entries_of(reps), shared_words(threshold, min_words)
     seen = entries.filter(F.pmod("sig", F.lit(SAMPLE)) == 0).groupBy("key").count()
     hot = cut(seen.filter(F.col("count") >= HOT_IN_SAMPLE).select("key"))
     few = fits(hot, MAX_BROADCAST_ROWS)
     split = marked(entries, hot, few)
     cold = split.filter("hot IS NULL").drop("hot")
-    pairs = cold.alias("a").join(cold.alias("b"), F.expr("a.key = b.key AND a.sig < b.sig") & possible(threshold))
-    pairs = cut(pairs.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct())
+    pairs = cold.alias("a").join(cold.alias("b"), F.expr("a.key = b.key AND a.sig < b.sig") & possible(threshold, shared))
+    counted = pairs.groupBy(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).agg(F.count("*").alias("n"))
+    pairs = cut(counted.filter(F.col("n") >= shared))
     dense = cut(split.filter("hot").drop("hot"))
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(dense.select("sig")).distinct()
     whole = words_of_sets(docs, key, text, reps.join(wanted, "sig").select("sig", "place"))
-    left = whole.select(F.col("sig").alias("a"), F.struct("place", "words").alias("x"))
-    right = whole.select(F.col("sig").alias("b"), F.struct("place", "words").alias("y"))
-    verified = pairs.join(left, "a").join(right, "b").filter(similar(F.col("x.words"), F.col("y.words"), threshold))
-    later = verified.select(F.when(F.expr("x.place > y.place"), F.col("a")).otherwise(F.col("b")).alias("sig"))
-    return later.union(hot_matched(dense, whole, threshold)).distinct()
-
-
-def hot_matched(dense: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
+    # An earlier match is enough: the earlier candidate that shares most words is tried first, the others if it fails.
+    place = whole.select("sig", "place")
+    placed = pairs.join(place.toDF("a", "place_a"), "a").join(place.toDF("b", "place_b"), "b")
+    a_later = F.col("place_a") > F.col("place_b")
+    directed = cut(placed.select(F.when(a_later, F.col("a")).otherwise(F.col("b")).alias("sig"), F.when(a_later, F.col("b")).otherwise(F.col("a")).alias("other"), "n"))
+    best = directed.groupBy("sig").agg(F.max(F.struct("n", "other")).alias("best")).select("sig", F.col("best.other").alias("other"))
+    found = cut(verified(best, whole, threshold))
+    rest = directed.select("sig", "other").join(found, "sig", "left_anti")
+    return found.union(verified(rest, whole, threshold)).union(hot_matched(dense, whole, threshold, shared)).distinct()
+
+
+def verified(pairs: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
+    """sig of the pairs (sig, other) whose whole sets match."""
+    left = whole.select("sig", F.col("words").alias("x"))
+    right = whole.select(F.col("sig").alias("other"), F.col("words").alias("y"))
+    both = pairs.join(left, "sig").join(right, "other")
+    return both.filter(similar(F.col("x"), F.col("y"), threshold)).select("sig")
+
+
+def hot_matched(dense: DataFrame, whole: DataFrame, threshold: float, shared: int) -> DataFrame:
     """The same for sets that share a frequent key: a tile answers for each of its sets whether an earlier one matches."""
     counts = dense.groupBy("key").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("parts"))
     rows = cut(dense.join(counts, "key").join(whole, "sig"))
@@ -145,13 +177,13 @@ def hot_matched(dense: DataFrame, whole: DataFrame, threshold: float) -> DataFra
     a = rows.withColumn("mine", own).withColumn("theirs", others).alias("a")
     b = rows.withColumn("theirs", own).withColumn("mine", others).alias("b")
     same = F.expr("a.key = b.key AND a.mine = b.mine AND a.theirs = b.theirs AND a.place > b.place")
-    return a.join(b, same & possible(threshold) & similar(F.col("a.words"), F.col("b.words"), threshold), "left_semi").select("sig")
+    return a.join(b, same & possible(threshold, shared) & similar(F.col("a.words"), F.col("b.words"), threshold), "left_semi").select("sig")
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, min_words: int = 5) -> DataFrame:
     """(doc, row, kept): the numbers, from 0, of the lines that stay; rows that lose all lines are absent."""
     reps = representatives(docs, key, text, threshold, min_words)
-    gone = cut(matched(docs, reps, key, text, threshold))
+    gone = cut(matched(docs, reps, key, text, threshold, min_words))
     stay = reps.select("sig", "place").join(gone, "sig", "left_anti")
     return stay.groupBy("place.doc", "place.row").agg(F.sort_array(F.collect_list("place.line_no")).alias("kept"))
 
