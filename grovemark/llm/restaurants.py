@@ -1,19 +1,21 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-A text is its words (A-Z lower-cased, split at ASCII white space) and one end. The root restaurant draws from the uniform
-distribution over the V known tokens and one for all others. Below it are context restaurants that share it as parent, one
-for each class of the token before: the last byte of a word modulo CLASSES, or the start of a text. A token of a class sits
-in the restaurant of that class; its tables are customers of the root.
-
-Seating is sampled by Gibbs sweeps. Tokens of one kind are seated anew at a time, by the Chinese restaurant process given
-the rest: the numbers of tables and customers of every restaurant, as they were after the sweep before, and the root's
-probability of the kind. So kinds are independent within a sweep and are spread over tasks, and what all tasks share is a
-row of totals for each restaurant. A sweep is a function of the counts, the totals so far and a seed, so a lost task can
-repeat it. Predictive probabilities are averaged over the sweeps after the first; a score is the sum of their logarithms.
-
-Counts are gathered for each chunk of documents before they are shuffled by word; scoring sends each distinct word of a
-chunk with its positions, and takes back one number for each (word, class) that the chunk needs. A frequent word is one
-entry for each chunk on both ways, so no task gets more than others by it.
+A text is its words (A-Z lower-cased, split at ASCII white space) and one end. The context of a token is the whole token
+before it, or the start of the text. There are three levels of restaurants: one for each context seen in training; as their
+parents one for each class of contexts (the last byte of the token before modulo CLASSES, or the start); and the root, which
+draws from the uniform distribution over the V known tokens and one for all others. Tables of a restaurant are customers of
+its parent. A context not seen in training has the distribution of its class.
+
+Seating is sampled by sweeps, tokens of one kind anew at a time by the Chinese restaurant process given the rest. Context
+restaurants are seated first, with the add-one probability of a token in place of its parent's; what their tables leave
+in the classes is then seated by sweeps over classes and root, given the numbers of tables and customers after the sweep
+before. Predictions of both parts are averaged over the sweeps after the first; they sum to one over all tokens. Each
+bucket of contexts has its own discount, from its pairs seen once and twice. A score is the sum of the logarithms.
+
+A chunk of documents sends its distinct words with their positions once and gets numbers for them; from then on documents
+are numbers. Pairs of a context and a token are counted for each chunk before they are shuffled by context. A context with
+more than 1 / HOT_SHARE of the training tokens, and the start, are dealt out by the token too: each part is seated with its
+tables scaled up to the whole context, and the sums over the parts (a row for each such context) go to the driver.
 
 Defined cases: a null or empty text is only its end; rows that repeat and null ids are rows like others; without training
 rows every token has probability 1 / (V + 1) = 1; other columns are ignored; texts of any length are taken whole.
@@ -44,9 +46,17 @@ SWEEPS = 4
 CONCENTRATION = 1.0
 END_WORD = b""
 
-COUNTED = "bucket int, lengths binary, words binary, kinds binary, classes binary, counts binary"
-ASKED = "bucket int, chunk long, lengths binary, words binary, kinds binary, classes binary, counts binary, firsts binary, gaps binary, ids array<long>, held array<boolean>, sizes binary"
-ANSWERED = "chunk long, tails binary, known binary, kinds binary, classes binary, logs binary, counts binary, firsts binary, gaps binary, ids array<long>, held array<boolean>, sizes binary"
+HOT_SHARE = 1_000
+START = 0  # the number of the start as a context; as a token, 0 is any word not seen in training
+
+ASKED = "bucket int, chunk long, lengths binary, words binary, trained binary, counts binary, firsts binary, gaps binary, ids binary, nulls binary, held binary, sizes binary"
+NAMED = "chunk long, numbers binary, known binary, tails binary, counts binary, firsts binary, gaps binary, ids binary, nulls binary, held binary, sizes binary, kinds long"
+CODED = "chunk long, numbers binary, known binary, tails binary, sequence binary, ids binary, nulls binary, held binary, sizes binary, tokens long, starts long, kinds long"
+PAIRS = "bucket int, chunk long, contexts binary, classes binary, followers binary, words binary, counts binary, known binary"
+SEATED = "target int, chunk long, bucket int, direct binary, masses binary, customers binary, words binary, kinds binary, classes binary, counts binary, hot array<long>, hot_masses array<double>"
+COUNTED = "bucket int, words binary, kinds binary, classes binary, counts binary"
+WANTED = "bucket int, chunk long, words binary, kinds binary, classes binary"
+ANSWERED = "chunk long, bucket int, shares binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -65,8 +75,8 @@ def tail_class(word: bytes) -> int:
     return word[-1] % CLASSES if word else CLASSES
 
 
-def chunks(batches: Iterator[pa.RecordBatch], only_training: bool):
-    """(ids, held, words, sequence, class before each position, tokens of each document) of each chunk."""
+def chunks(batches: Iterator[pa.RecordBatch]):
+    """(ids, held, words, sequence, tokens of each document) of each chunk."""
 
     def fresh():
         words = defaultdict()
@@ -76,18 +86,10 @@ def chunks(batches: Iterator[pa.RecordBatch], only_training: bool):
     ids, held, sequences, words, size = fresh()
 
     def closed():
-        known = list(words)
-        tails = np.fromiter(map(tail_class, known), np.int64, len(known))
-        sequence, sizes = np.concatenate(sequences), np.array([len(s) for s in sequences], np.int64)
-        before = np.empty(len(sequence), np.int64)
-        before[1:] = tails[sequence[:-1]]
-        before[np.cumsum(sizes) - sizes] = CLASSES
-        return ids, held, known, sequence, before, sizes
+        return ids, held, list(words), np.concatenate(sequences), np.array([len(x) for x in sequences], np.int64)
 
     for batch in batches:
         for key, out, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            if only_training and out:
-                continue
             data = (value.as_py() or "").encode().lower()
             found = data.split()
             found.append(END_WORD)
@@ -109,24 +111,8 @@ def pair_columns(pairs: np.ndarray, a: int, b: int, pack) -> tuple[bytes, bytes]
     return pack(varints(kinds)[0]), pack((pairs % CONTEXTS).astype(np.uint8).tobytes())
 
 
-def training_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    pack, number = zstandard.ZstdCompressor(level=3).compress, 0
-    for _, _, words, sequence, before, _ in chunks(batches, only_training=True):
-        encoded, sequence, packed = packed_positions(words, sequence, buckets, pack)
-        pairs, counts = np.unique(sequence * CONTEXTS + before, return_counts=True)
-        rows = []
-        for k, a, b, *_ in packed:
-            lo, hi = np.searchsorted(pairs, [a * CONTEXTS, b * CONTEXTS])
-            lengths = np.fromiter(map(len, encoded[a:b]), np.int64, b - a)
-            kinds, classes = pair_columns(pairs[lo:hi], a, b, pack)
-            rows.append((k, pack(varints(lengths)[0]), pack(b"".join(encoded[a:b])), kinds, classes, pack(varints(counts[lo:hi])[0])))
-        yield batch_of(rows, COUNTED)
-        number += 1
-
-
 def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(),
-             "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
     fields = [field.strip().split(" ") for field in schema.split(",")]
     columns = list(zip(*rows)) or [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
@@ -137,23 +123,215 @@ def split_words(lengths: bytes, words: bytes, unpack) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def gather_counts(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row for a bucket: its words, and their counts by class."""
+def frame_of(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[field.strip().split(" ")[0] for field in schema.split(",")])
+
+
+def ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The words of each chunk with their positions and counts in training rows, packed by bucket, and its documents."""
+    pack, part = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId()
+    for number, (ids, held, words, sequence, sizes) in enumerate(chunks(batches)):
+        chunk = (part << 32) | number
+        encoded, sequence, packed = packed_positions(words, sequence, buckets, pack)
+        out = np.array(held, bool)
+        trained = np.bincount(sequence[~np.repeat(out, sizes)], minlength=len(encoded))
+        nulls = np.array([k is None for k in ids])
+        keys = np.array([k or 0 for k in ids], np.int64)
+        rows = [(chunk % buckets, chunk, *[None] * 6, keys.tobytes(), nulls.tobytes(), out.tobytes(), sizes.tobytes())]
+        for k, a, b, counts, firsts, gaps in packed:
+            lengths = np.fromiter(map(len, encoded[a:b]), np.int64, b - a)
+            rows.append((k, chunk, pack(varints(lengths)[0]), pack(b"".join(encoded[a:b])), pack(varints(trained[a:b])[0]), counts, firsts, gaps, *[None] * 4))
+        made = batch_of(rows, ASKED)
+        del ids, held, words, sequence, encoded, packed, rows  # before the next chunk is gathered
+        yield made
+
+
+def name_words(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """For each word of each chunk its number (0: not in training; the most frequent of a bucket first), count and class."""
+    pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+    bucket, totals = int(rows["bucket"].iloc[0]), defaultdict(int)
+    for row in rows[rows["sizes"].isna()].itertuples(index=False):
+        for word, n in zip(split_words(row.lengths, row.words, unpack), from_varints(unpack(row.trained)).tolist()):
+            if n:
+                totals[word] += n
+    number = {w: k * buckets + bucket + 1 for k, w in enumerate(sorted(totals, key=lambda w: (-totals[w], w)))}
+    out = []
+    for k, row in enumerate(rows.itertuples(index=False)):
+        kinds = 0 if k else len(number)
+        if row.sizes is not None:
+            out.append((row.chunk, *[None] * 6, row.ids, row.nulls, row.held, row.sizes, kinds))
+            continue
+        words = split_words(row.lengths, row.words, unpack)
+        numbers = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
+        known = np.fromiter((totals.get(w, 0) for w in words), np.int64, len(words))
+        tails = np.fromiter(map(tail_class, words), np.uint8, len(words))
+        out.append((row.chunk, pack(varints(numbers)[0]), pack(varints(known)[0]), pack(tails.tobytes()), row.counts, row.firsts, row.gaps, *[None] * 4, kinds))
+    return frame_of(out, NAMED)
+
+
+def code(rows: pd.DataFrame) -> pd.DataFrame:
+    """One chunk as the numbers of its words, the most frequent first, and the sequence of these."""
     pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
-    number: dict[bytes, int] = {}
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    head, body = rows[rows["sizes"].notna()].iloc[0], rows[rows["sizes"].isna()]
+    joined = lambda name, read: np.concatenate([read(unpack(x)) for x in body[name]])
+    numbers, known = joined("numbers", from_varints), joined("known", from_varints)
+    tails = joined("tails", lambda x: np.frombuffer(x, np.uint8))
+    word = word_numbers(list(body["counts"]), list(body["firsts"]), list(body["gaps"]))
+    order = np.argsort(-np.bincount(word, minlength=len(numbers)), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    sizes, held = np.frombuffer(head["sizes"], np.int64), np.frombuffer(head["held"], bool)
+    made = (int(head["chunk"]), pack(varints(numbers[order])[0]), pack(varints(known[order])[0]), pack(tails[order].tobytes()), pack(varints(place[word])[0]),
+            head["ids"], head["nulls"], head["held"], head["sizes"], int(sizes[~held].sum()), int((~held).sum()), int(rows["kinds"].sum()))
+    return frame_of([made], CODED)
+
+
+class Chunk:
+    """A row of CODED unpacked: for each position the word (as numbered in the chunk) and the class of its context."""
+
+    def __init__(self, row, buckets: int):
+        unpack = zstandard.ZstdDecompressor().decompress
+        self.buckets = buckets
+        self.numbers, self.known = from_varints(unpack(row["numbers"])), from_varints(unpack(row["known"]))
+        tails = np.frombuffer(unpack(row["tails"]), np.uint8).astype(np.int64)
+        self.word = from_varints(unpack(row["sequence"])).astype(np.int32)
+        self.sizes, self.held = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["held"], bool)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.classes = np.empty(len(self.word), np.uint8)
+        self.classes[1:] = tails[self.word[:-1]]
+        self.classes[self.starts] = CLASSES
+
+    def deal(self, hot: np.ndarray) -> None:
+        """Finds the positions after a context of training rows, and their pairs in the order of their buckets."""
+        context = np.empty(len(self.word), np.int64)
+        context[1:] = self.numbers[self.word[:-1]]
+        context[self.starts] = START
+        seen = context > 0
+        seen[self.starts] = True
+        self.seen = np.flatnonzero(seen).astype(np.int32)
+        keys = (context[seen] << 32) | self.numbers[self.word[self.seen]]
+        del context
+        pairs, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        del keys
+        inverse = inverse.astype(np.int32)
+        counts = np.bincount(inverse[np.repeat(~self.held, self.sizes)[seen]], minlength=len(pairs))
+        context, number = pairs >> 32, pairs & 0xFFFFFFFF
+        bucket = np.where(np.isin(context, hot), context + number, context) % self.buckets
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        self.pair = place[inverse]
+        self.pairs, self.bucket, self.counts = pairs[order], bucket[order], counts[order]
+        self.first = self.seen[first[order]]  # a position of each pair
+        change = np.ones(len(pairs), bool)
+        change[1:] = (self.bucket[1:] != self.bucket[:-1]) | (self.pairs[1:] >> 32 != self.pairs[:-1] >> 32)
+        self.heads = np.flatnonzero(change)  # where another context begins
+
+    def wanted(self):
+        """The sorted numbers word * CONTEXTS + class of known words by bucket, and the bucket of each."""
+        keys = np.unique(self.word.astype(np.int64) * CONTEXTS + self.classes)
+        keys = self.numbers[keys // CONTEXTS] * CONTEXTS + keys % CONTEXTS
+        keys = np.unique(keys[keys >= CONTEXTS])
+        bucket = (keys // CONTEXTS - 1) % self.buckets
+        order = np.argsort(bucket, kind="stable")
+        return keys[order], bucket[order]
+
+
+def coded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def chunk_pairs(row: dict, buckets: int, hot: np.ndarray) -> pa.RecordBatch:
+    """The pairs of a chunk with their counts in training rows, packed by bucket."""
+    pack, c, rows = zstandard.ZstdCompressor(level=3).compress, Chunk(row, buckets), []
+    c.deal(hot)
+    bounds = np.searchsorted(c.bucket, np.arange(buckets + 1))
+    number = c.pairs & 0xFFFFFFFF
+    steps = np.diff(number, prepend=0)
+    steps[c.heads] = number[c.heads]
+    followers = np.diff(c.heads, append=len(c.pairs))
+    context, known = c.pairs[c.heads] >> 32, c.known[c.word[c.first]]
+    for k in np.flatnonzero(np.diff(bounds)).tolist():
+        a, b = bounds[k : k + 2]
+        lo, hi = np.searchsorted(c.heads, [a, b])
+        rows.append((k, row["chunk"], pack(varints(np.diff(context[lo:hi], prepend=0))[0]), pack(c.classes[c.first[c.heads[lo:hi]]].tobytes()),
+                     pack(varints(followers[lo:hi])[0]), pack(varints(steps[a:b])[0]), pack(varints(c.counts[a:b])[0]), pack(varints(known[a:b])[0])))
+    return batch_of(rows, PAIRS)
+
+
+def seat(rows: pd.DataFrame, tokens: int, kinds: int, hot: dict[int, int], buckets: int, sweeps: int) -> pd.DataFrame:
+    """Seats the contexts of one bucket: answers for each chunk, customers of the classes by bucket of the token, hot sums."""
+    pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+    bucket, read = int(rows["bucket"].iloc[0]), []
     for row in rows.itertuples(index=False):
-        own = np.array([number.setdefault(w, len(number)) for w in split_words(row.lengths, row.words, unpack)], np.int64)
-        classes = np.frombuffer(unpack(row.classes), np.uint8)
-        keys.append(np.repeat(own, from_varints(unpack(row.kinds))) * CONTEXTS + classes)
-        counts.append(from_varints(unpack(row.counts)))
-    pairs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.bincount(inverse, np.concatenate(counts), len(pairs)).astype(np.int64)
-    words = list(number)
-    kinds, classes = pair_columns(pairs, 0, len(words), pack)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    made = (int(rows["bucket"].iloc[0]), pack(varints(lengths)[0]), pack(b"".join(words)), kinds, classes, pack(varints(sums)[0]))
-    return pd.DataFrame([made], columns=["bucket", "lengths", "words", "kinds", "classes", "counts"])
+        context, followers = np.cumsum(from_varints(unpack(row.contexts))), from_varints(unpack(row.followers))
+        heads, run = np.cumsum(followers) - followers, np.cumsum(from_varints(unpack(row.words)))
+        steps = run - np.repeat(np.append(0, run)[heads], followers)
+        read.append((np.repeat(context, followers) << 32 | steps, from_varints(unpack(row.counts)), from_varints(unpack(row.known)), context,
+                     np.frombuffer(unpack(row.classes), np.uint8)))
+    lengths, lists = [len(keys) for keys, *_ in read], [context for *_, context, _ in read]
+    pairs, counts, known, contexts, classes = (np.concatenate(x) for x in zip(*read))
+    del read
+    pairs, first, inverse = np.unique(pairs, return_index=True, return_inverse=True)
+    counts, known = np.bincount(inverse, counts, len(pairs)).astype(np.int64), known[first]
+    contexts, first = np.unique(contexts, return_index=True)
+    classes, at = classes[first].astype(np.int64), np.searchsorted(contexts, pairs >> 32)
+    sums = lambda x: np.bincount(at, x, len(contexts))
+    customers = sums(counts)
+    ones, twos = (counts == 1).sum(), (counts == 2).sum()
+    discount = float(np.clip(ones / max(1.0, ones + 2 * twos), 0.1, 0.95))
+    whole = np.array([hot.get(u, n) for u, n in zip(contexts.tolist(), customers.tolist())], float)
+    scale = whole / np.maximum(customers, 1)
+    base, tables, mean = (known + 1) / (tokens + kinds + 1), (counts > 0).astype(float), np.zeros(len(pairs))
+    for number in range(sweeps):
+        rng = np.random.default_rng([bucket, number, 1])
+        new = (CONCENTRATION + discount * scale * sums(tables))[at] * base
+        tables = tables_taken(counts, new, discount, rng)
+        if number or sweeps == 1:
+            mean += tables / max(1, sweeps - 1)
+    direct, masses = (counts - discount * mean).astype(np.float32), discount * sums(mean)
+    nothing, out, done = [None] * 4, [], 0
+    for row, length, context in zip(rows.itertuples(index=False), lengths, lists):
+        mine = np.searchsorted(contexts, context)
+        out.append((None, row.chunk, bucket, pack(direct[inverse[done : done + length]].tobytes()), pack(masses[mine].astype(np.float32).tobytes()),
+                    pack(whole[mine].astype(np.float32).tobytes()), *nothing, None, None))
+        done += length
+    mine = np.flatnonzero(counts)
+    keys, inverse = np.unique((pairs[mine] & 0xFFFFFFFF) * CONTEXTS + classes[at[mine]], return_inverse=True)
+    for k, a, b, words, n, own in by_bucket(keys, (keys // CONTEXTS - 1) % buckets, buckets, np.bincount(inverse, tables[mine], len(keys)).astype(np.int64)):
+        out.append((k, None, bucket, None, None, None, words, n, a, b, None, None))
+    shared = np.flatnonzero(np.isin(contexts, list(hot)))
+    if len(shared):
+        out.append((None, None, bucket, None, None, None, *nothing, contexts[shared].tolist(), masses[shared].tolist()))
+    return frame_of(out, SEATED)
+
+
+def by_bucket(keys: np.ndarray, bucket: np.ndarray, buckets: int, counts: np.ndarray):
+    """(bucket, classes, counts, words, kinds, number of keys) packed, of sorted numbers word * CONTEXTS + class."""
+    pack, order = zstandard.ZstdCompressor(level=3).compress, np.argsort(bucket, kind="stable")
+    keys, counts, bounds = keys[order], counts[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(bounds)).tolist():
+        mine = keys[bounds[k] : bounds[k + 1]]
+        words, kinds = np.unique(mine // CONTEXTS, return_counts=True)
+        yield (k, pack((mine % CONTEXTS).astype(np.uint8).tobytes()), pack(varints(counts[bounds[k] : bounds[k + 1]])[0]),
+               pack(varints(np.diff(words, prepend=0))[0]), pack(varints(kinds)[0]), len(mine))
+
+
+def class_keys(row, unpack) -> np.ndarray:
+    words = np.cumsum(from_varints(unpack(row.words)))
+    return np.repeat(words, from_varints(unpack(row.kinds))) * CONTEXTS + np.frombuffer(unpack(row.classes), np.uint8)
+
+
+def gather_counts(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row for a bucket: the customers of the classes, by token and class."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    keys, inverse = np.unique(np.concatenate([class_keys(row, unpack) for row in rows.itertuples(index=False)]), return_inverse=True)
+    sums = np.bincount(inverse, np.concatenate([from_varints(unpack(x)) for x in rows["counts"]]), len(keys)).astype(np.int64)
+    bucket = int(rows["target"].iloc[0])
+    (_, classes, counts, words, kinds, _), = by_bucket(keys, np.zeros(len(keys), np.int64), 1, sums)
+    return frame_of([(bucket, words, kinds, classes, counts)], COUNTED)
 
 
 def tables_taken(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -231,88 +409,101 @@ def totals_after(counts: DataFrame, history: list[Totals]) -> Totals:
     return Totals(s[CONTEXTS : 2 * CONTEXTS], s[:CONTEXTS], float(s[2 * CONTEXTS]), int(s[2 * CONTEXTS + 1]), int(s[CONTEXTS : 2 * CONTEXTS].sum()), discount)
 
 
-def ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The words of each chunk with their positions and the classes they follow, packed by bucket, and its documents."""
-    pack, part = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId()
-    for number, (ids, held, words, sequence, before, sizes) in enumerate(chunks(batches, only_training=False)):
-        chunk = (part << 32) | number
-        encoded, sequence, packed = packed_positions(words, sequence, buckets, pack)
-        pairs = np.unique(sequence * CONTEXTS + before)
-        rows = [(chunk % buckets, chunk, None, None, None, None, None, None, None, ids, held, sizes.tobytes())]
-        for k, a, b, counts, firsts, gaps in packed:
-            lo, hi = np.searchsorted(pairs, [a * CONTEXTS, b * CONTEXTS])
-            lengths = np.fromiter(map(len, encoded[a:b]), np.int64, b - a)
-            kinds, classes = pair_columns(pairs[lo:hi], a, b, pack)
-            rows.append((k, chunk, pack(varints(lengths)[0]), pack(b"".join(encoded[a:b])), kinds, classes, counts, firsts, gaps, None, None, None))
-        yield batch_of(rows, ASKED)
+def want(row: dict, buckets: int) -> pa.RecordBatch:
+    """The pairs of class and token of a chunk, packed by bucket of the token."""
+    keys, bucket = Chunk(row, buckets).wanted()
+    found = by_bucket(keys, bucket, buckets, np.zeros(len(keys), np.int64))
+    return batch_of([(k, row["chunk"], words, kinds, classes) for k, classes, _, words, kinds, _ in found], WANTED)
+
+
+def averaged(history: list[Totals]) -> list[int]:
+    """The sweeps whose predictions are averaged; the first only leaves the start behind."""
+    return [k for k in range(len(history) - 1) if k or len(history) == 2]
+
+
+def class_share(after: Totals) -> np.ndarray:
+    return (CONCENTRATION + after.discount * after.tables) / (CONCENTRATION + after.customers)
+
+
+def unknown_after(history: list[Totals]) -> np.ndarray:
+    """The probability of a token not seen in training, after each class."""
+    unknown = lambda t: (CONCENTRATION + t.discount * t.root_tables) / (t.kinds + 1) / (CONCENTRATION + t.tables.sum())
+    return np.mean([class_share(history[k + 1]) * unknown(history[k + 1]) for k in averaged(history)], axis=0)
 
 
-def answer(asked: pd.DataFrame, counted: pd.DataFrame, bucket: int, history: list[Totals]) -> pd.DataFrame:
-    """For each word of each chunk its last byte's class and training count, and for each class it follows the logarithm."""
+def answer(wanted: pd.DataFrame, counted: pd.DataFrame, bucket: int, history: list[Totals]) -> pd.DataFrame:
+    """For each pair of class and token of each chunk the probability of the token in the class."""
     pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
-    last = history[-1]
-    if len(counted):
-        row = counted.iloc[0]
-        words, seating = split_words(row["lengths"], row["words"], unpack), seating_of(row)
-    else:
-        words, seating = [], Seating(bucket, *(np.zeros(0, np.int64) for _ in range(3)))
-    number = {word: k for k, word in enumerate(words)}
-    keys, counts = seating.word * CONTEXTS + seating.classes, np.append(seating.of_word, 0).astype(np.int64)
-    direct, roots, shares = np.zeros(len(keys) + 1), [], []
+    if not len(wanted):
+        return frame_of([], ANSWERED)
+    row = counted.iloc[0]  # known words have customers
+    seating, words = seating_of(row), np.cumsum(from_varints(unpack(row["words"])))
+    keys, direct, roots, shares = words[seating.word] * CONTEXTS + seating.classes, np.zeros(len(seating.counts) + 1), [], []
+    used = averaged(history)
     for k, totals in enumerate(history[:-1]):
         seating.sweep(totals, k)
+        if k not in used:
+            continue
         after = history[k + 1]
-        if k == 0 and len(history) > 2:
-            continue  # the first sweep only leaves the start behind
-        below = CONCENTRATION + after.customers
-        direct[:-1] += (seating.counts - after.discount * seating.tables) / below[seating.classes]
-        unknown = (CONCENTRATION + after.discount * after.root_tables) / (after.kinds + 1) / (CONCENTRATION + after.tables.sum())
-        roots.append(np.append(seating.root_probability(after), unknown))
-        shares.append((CONCENTRATION + after.discount * after.tables) / below)
+        direct[:-1] += (seating.counts - after.discount * seating.tables) / (CONCENTRATION + after.customers)[seating.classes]
+        roots.append(seating.root_probability(after))
+        shares.append(class_share(after))
     out = []
-    for row in asked.itertuples(index=False):
-        if row.sizes is not None:
-            out.append((row.chunk, None, None, None, None, None, None, None, None, row.ids, row.held, row.sizes))
-            continue
-        found = split_words(row.lengths, row.words, unpack)
-        own = np.array([number.get(w, len(words)) for w in found], np.int64)
-        each = np.repeat(own, from_varints(unpack(row.kinds)))
-        classes = np.frombuffer(unpack(row.classes), np.uint8).astype(np.int64)
-        key = each * CONTEXTS + classes
+    for row in wanted.itertuples(index=False):
+        key = class_keys(row, unpack)
         at = np.searchsorted(keys, key)
         at[(at == len(keys)) | (np.append(keys, -1)[at] != key)] = len(keys)
-        p = direct[at] + sum(share[classes] * root[each] for share, root in zip(shares, roots))
-        logs = np.log10(p / len(roots)) if last.tokens else np.zeros(len(p))
-        tails = np.fromiter(map(tail_class, found), np.uint8, len(found))
-        out.append((row.chunk, pack(tails.tobytes()), pack(varints(counts[own])[0]), row.kinds, row.classes, pack(logs.astype(np.float32).tobytes()),
-                    row.counts, row.firsts, row.gaps, None, None, None))
-    return pd.DataFrame(out, columns=[field.strip().split(" ")[0] for field in ANSWERED.split(",")])
+        word, classes = np.searchsorted(words, key // CONTEXTS), key % CONTEXTS
+        p = direct[at] + sum(share[classes] * root[word] for share, root in zip(shares, roots))
+        out.append((row.chunk, bucket, pack((p / len(used)).astype(np.float32).tobytes())))
+    return frame_of(out, ANSWERED)
 
 
-def add_up(rows: pd.DataFrame, last: Totals) -> pd.DataFrame:
+def add_up(rows: pd.DataFrame, history: list[Totals], tokens: int, kinds: int, hot: dict[int, int], masses: dict[int, float], buckets: int) -> pd.DataFrame:
     """The scores of the documents of one chunk."""
     unpack = zstandard.ZstdDecompressor().decompress
-    head, body = rows[rows["sizes"].notna()].iloc[0], rows[rows["sizes"].isna()]
-    joined = lambda name, read: np.concatenate([read(unpack(x)) for x in body[name]])
-    tails = joined("tails", lambda x: np.frombuffer(x, np.uint8)).astype(np.int64)
-    known, kinds = joined("known", from_varints), joined("kinds", from_varints)
-    classes, logs = joined("classes", lambda x: np.frombuffer(x, np.uint8)), joined("logs", lambda x: np.frombuffer(x, np.float32))
-    pairs = np.repeat(np.arange(len(kinds)), kinds) * CONTEXTS + classes
-    word = word_numbers(list(body["counts"]), list(body["firsts"]), list(body["gaps"]))
-    sizes = np.frombuffer(head["sizes"], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    before = np.empty(len(word), np.int64)
-    before[1:] = tails[word[:-1]]
-    before[starts] = CLASSES
-    token = logs.astype(float)[np.searchsorted(pairs, word.astype(np.int64) * CONTEXTS + before)]
-    base = np.log10((known + 1.0) / (last.tokens + last.kinds + 1))
-    sums = lambda values: np.add.reduceat(values, starts)  # noqa: E731  every document has its end
+    head = rows[rows["sizes"].notna()].iloc[0]
+    c = Chunk(head, buckets)
+    c.deal(np.array(list(hot), np.int64))
+    rows = rows.sort_values("bucket")
+    floats = lambda name: np.concatenate([np.zeros(0), *(np.frombuffer(unpack(x), np.float32) for x in rows[name] if x is not None)])
+    parent = unknown_after(history)[c.classes]
+    number, (keys, _) = c.numbers[c.word], c.wanted()
+    found = number > 0
+    rank = np.argsort(keys)
+    parent[found] = floats("shares")[rank][np.searchsorted(keys[rank], number[found] * CONTEXTS + c.classes[found])]
+    p = parent.copy()
+    if len(c.pairs):
+        context, mass, customers = c.pairs[c.heads] >> 32, floats("masses"), floats("customers")
+        for k in np.flatnonzero(np.isin(context, list(hot))).tolist():
+            mass[k], customers[k] = masses.get(int(context[k]), 0.0), hot[int(context[k])]
+        of = np.repeat(np.arange(len(c.heads)), np.diff(c.heads, append=len(c.pairs)))[c.pair]
+        p[c.seen] = (floats("direct")[c.pair] + (CONCENTRATION + mass[of]) * parent[c.seen]) / (CONCENTRATION + customers[of])
+    token = np.log10(p) if tokens else np.zeros(len(p))
+    base = np.log10((c.known + 1.0) / (tokens + kinds + 1))
+    sums = lambda values: np.add.reduceat(values, c.starts)  # noqa: E731  every document has its end
     return pd.DataFrame({
-        "doc_id": pd.array(list(head["ids"]), dtype="Int64"), "held_out": list(head["held"]), "n_tokens": sizes,
-        "n_known": sums((known > 0)[word].astype(np.int64)), "base_score": sums(base[word]), "score": sums(token),
+        "doc_id": pd.arrays.IntegerArray(np.frombuffer(head["ids"], np.int64).copy(), np.frombuffer(head["nulls"], bool).copy()),
+        "held_out": c.held, "n_tokens": c.sizes,
+        "n_known": sums((c.known > 0)[c.word].astype(np.int64)), "base_score": sums(base[c.word]), "score": sums(token),
     })
 
 
+def hot_contexts(coded: DataFrame, tokens: int, starts: int) -> dict[int, int]:
+    """The customers of each context with more than 1 / HOT_SHARE of the training tokens, and of the start."""
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for row in batch.to_pylist():
+                numbers, known = from_varints(unpack(row["numbers"])), from_varints(unpack(row["known"]))
+                keep = known * HOT_SHARE > tokens
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[keep]), pa.array(known[keep])], names=["number", "n"])
+
+    rows = coded.select("numbers", "known").mapInArrow(frequent, "number long, n long").distinct().collect()  # HOT_SHARE at most
+    return {START: starts} | {r["number"]: r["n"] for r in rows}
+
+
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", sweeps: int = SWEEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows not held out are learnt from.
 
@@ -320,16 +511,24 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col(key).cast("long"), F.coalesce(held_out, F.lit(False)), F.col(text).cast("string"))
-    found = narrow.mapInArrow(lambda batches: training_counts(batches, buckets), COUNTED)
-    counts = cut(found.groupBy("bucket").applyInPandas(gather_counts, COUNTED))
+    asked = narrow.mapInArrow(lambda batches: ask(batches, buckets), ASKED)
+    named = asked.groupBy("bucket").applyInPandas(lambda rows: name_words(rows, buckets), NAMED)
+    coded = cut(named.groupBy("chunk").applyInPandas(code, CODED))
+    sums = coded.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "starts", "kinds"))).first()
+    tokens, starts, kinds = map(int, sums)
+    hot = hot_contexts(coded, tokens, starts)
+    listed = np.array(list(hot), np.int64)
+    pairs = coded.mapInArrow(lambda batches: (chunk_pairs(row, buckets, listed) for row in coded_rows(batches)), PAIRS)
+    seated = cut(pairs.groupBy("bucket").applyInPandas(lambda rows: seat(rows, tokens, kinds, hot, buckets, sweeps), SEATED))
+    parts = seated.filter("hot IS NOT NULL").select(F.explode(F.arrays_zip("hot", "hot_masses")).alias("x"))
+    masses = {r[0]: r[1] for r in parts.groupBy("x.hot").agg(F.sum("x.hot_masses")).collect()}
+    counts = cut(seated.filter("target IS NOT NULL").groupBy("target").applyInPandas(gather_counts, COUNTED))
     history: list[Totals] = [totals_after(counts, [])]
     for _ in range(sweeps):
         history.append(totals_after(counts, history))
-    asked = narrow.mapInArrow(lambda batches: ask(batches, buckets), ASKED)
-    replied = asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInPandas(
-        lambda k, a, b: answer(a, b, int(k[0]), history), ANSWERED
-    )
-    scored = replied.groupBy("chunk").applyInPandas(lambda rows: add_up(rows, history[-1]), SCORED)
-    return scored.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(history[-1].tokens).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+    wanted = coded.mapInArrow(lambda batches: (want(row, buckets) for row in coded_rows(batches)), WANTED)
+    shares = wanted.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInPandas(lambda k, a, b: answer(a, b, int(k[0]), history), ANSWERED)
+    answers = seated.filter("chunk IS NOT NULL").select("chunk", "bucket", "direct", "masses", "customers")
+    every = coded.unionByName(answers, allowMissingColumns=True).unionByName(shares, allowMissingColumns=True)
+    scored = every.groupBy("chunk").applyInPandas(lambda rows: add_up(rows, history, tokens, kinds, hot, masses, buckets), SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

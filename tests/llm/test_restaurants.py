@@ -80,3 +80,30 @@ def test_tables():
 def test_no_rows(spark):
     assert restaurants.score(fixtures.empty(spark), F.lit(False)).count() == 0
     assert restaurants.score(fixtures.odd(spark), F.lit(True)).count() == len(fixtures.ODD)
+
+
+def test_contexts_are_whole_tokens(spark):
+    """xa and ya end in the same byte but are followed by other words."""
+    training = [(k, "xa p" if k % 2 else "ya q") for k in range(60)]
+    asked = [(100, "xa p"), (101, "xa q"), (102, "ya p"), (103, "ya q")]
+    docs = spark.createDataFrame(training + asked, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in restaurants.score(docs, F.col("doc_id") >= 100).collect()}
+    assert got[100] > got[101] + 0.5 and got[103] > got[102] + 0.5
+
+
+def test_whole_contexts_sum_to_one(spark):
+    """Over all next tokens of a context, with hot and with rare contexts, seen in training or not."""
+    words = ["a", "b", "c", "zebra", "unseen"]
+    training = [(k, t) for k, t in enumerate(["a b a c", "b a", "c c b zebra", "a"] * 5)]
+    asked = [(100 + 10 * i + j, f"{u} {w}") for i, u in enumerate(words) for j, w in enumerate(words)]
+    alone = [(1000 + i, u) for i, u in enumerate(words)]
+    after = [(2000, "")]
+    docs = spark.createDataFrame(training + asked + alone + after, "doc_id long, text string")
+    got = {r["doc_id"]: 10 ** r["score"] for r in restaurants.score(docs, F.col("doc_id") >= 100).collect()}
+    # P(u, end) = P(u) P(end | u) and P(u, w, end) = P(u) P(w | u) P(end | w), where P(end | w) = P(w, end) / P(w).
+    # A matrix of the pairs gives P(w | u) P(end | w) / P(end | u); it must fit sums of one for all contexts at once.
+    pair = np.array([[got[100 + 10 * i + j] / got[1000 + i] for j in range(5)] for i in range(5)])  # P(w|u) P(end|w) / P(end|u)
+    # With e = P(end | .): sum over w of pair[u, w] * e[u] / e[w] + e[u] = 1, which is linear in x = 1 / e: pair @ x + 1 = x.
+    x = np.linalg.solve(np.eye(5) - pair, np.ones(5))
+    first = np.array([got[1000 + i] for i in range(5)]) * x  # P(u at the start)
+    assert (x > 1).all() and abs(first.sum() + got[2000] - 1) < 1e-4
