@@ -21,7 +21,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that match an earlier line; n_chars follows the text."""
-    made = lines.dedup_lines(docs, threshold=0.8, min_words=5)
+    made = lines.dedup_lines(docs, threshold=0.8, min_words=1)
     return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
 
 

@@ -5,7 +5,8 @@ their sets is at least `threshold`; a line goes if it matches an earlier line of
 (doc_id, hash of the text, line number). Each distinct set is joined once: its first line stands for it, and all later
 lines with the same set go.
 
-Words of a set are ordered by rarity, the rarest first. A set of n words is filed under its first n - ceil(t n) + 2
+Sets that match and are not equal have at least s words in common, where s / (s + 1) reaches the threshold (four at 0.8),
+so smaller sets match by equality alone. Words of a set are ordered by rarity, the rarest first. A set of n words is filed under its first n - ceil(t n) + 2
 words; two sets that match share two of these. A pair is a candidate if it does, if the sizes allow it (t |x| <= |y|),
 if enough words can still follow the shared ones in both orders (the positional filter), and if two 64-bit summaries of the
 sets do not rule it out. Candidates are verified on the whole sets. Rarity is the count over all documents of the words that fall in the same
@@ -32,7 +33,7 @@ from grovemark.session import cut, fits
 CELL_BITS = 17
 SAMPLE = 16  # one set in so many is counted to find frequent keys
 HOT_IN_SAMPLE = 64
-SHARED = 2  # words that two prefixes must share; a match of sets of five words has four in common
+SHARED = 2  # words that two prefixes must share; a match of unequal sets has at least four in common at 0.8
 TILE_ROWS = 512
 MAX_BROADCAST_ROWS = 200_000  # of two numbers and a short list each
 SPACES = "[ \\t\\r\\n\\x0b\\x0c]+"
@@ -70,6 +71,7 @@ def representatives(docs: DataFrame, key: str, text: str, threshold: float, min_
         F.sort_array(F.transform(F.array_distinct(words_of(F.col("line"))), rank_first)).alias("words"),
     ).withColumn("n", F.size("words"))
     enough = F.col("n") >= min_words
+    compared = enough & (F.col("n") >= F.lit(least_common(threshold)))
     length = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + shared_words(threshold, min_words)).cast("int")
 
     def summary(k: int) -> Column:
@@ -83,7 +85,7 @@ def representatives(docs: DataFrame, key: str, text: str, threshold: float, min_
     sets = sets.select(
         F.when(enough, F.xxhash64("words")).otherwise(F.xxhash64("place", F.lit("short"))).alias("sig"),
         F.when(enough, F.col("n")).otherwise(0).alias("n"),
-        F.when(enough, prefix).alias("prefix"),
+        F.when(compared, prefix).alias("prefix"),
         F.when(enough, summary(0)).alias("bits0"),
         F.when(enough, summary(6)).alias("bits1"),
         "place",
@@ -92,9 +94,14 @@ def representatives(docs: DataFrame, key: str, text: str, threshold: float, min_
     return cut(one)
 
 
+def least_common(threshold: float) -> float:
+    """How many words two unequal sets that match have in common at least: s of s + 1 must reach the threshold."""
+    return math.ceil(threshold / (1 - threshold) - 1e-9) if threshold < 1 else math.inf
+
+
 def shared_words(threshold: float, min_words: int) -> int:
-    """How many words two prefixes must share: SHARED, but no more than any match has in common."""
-    return max(1, min(SHARED, math.ceil(threshold * min_words - 1e-9)))
+    """How many words two prefixes must share: SHARED, but no more than any match of unequal sets has in common."""
+    return max(1, min(SHARED, max(math.ceil(threshold * min_words - 1e-9), least_common(threshold))))
 
 
 def entries_of(reps: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def op7_byte_pairs(spark, folder):
 
 @query()
 def op8_lines(spark, folder):
-    return lines.line_report(table(spark, folder, "documents"))
+    return lines.line_report(table(spark, folder, "documents"), min_words=1)
 
 
 @query()

@@ -5,7 +5,8 @@ from collections import defaultdict
 
 import pytest
 
-from grovemark.llm import lines
+import corpus_pipeline
+from grovemark.llm import lines, queries
 from tests.llm import fixtures
 
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
@@ -54,3 +55,17 @@ def test_texts_and_other_columns(spark):
     assert made.columns == docs.columns and texts[9300] == BASE and texts[9301] == ""
     assert texts[9302] == "short one\nshort one" and texts[9001] is None and texts[9002] == ""
     assert lines.dedup_lines(fixtures.empty(spark)).count() == 0
+
+
+def test_short_lines_are_compared(spark, tmp_path):
+    """By the query and the stage: lines of one word or more, few distinct words in a long line, four words of five."""
+    rows = [
+        (9500, "Les.\n\nAnd ornd.\nLes."), (9501, "les.\nand ORND.\n\nother and ornd."), (9502, "go " * 50 + "away"), (9503, "away go"),
+        (9504, "one two three four"), (9505, "one two three four five"), (9506, "one two three"), (9507, "two one three"),
+    ]
+    docs = fixtures.mixed(spark, rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute(spark, docs, 0.8, 1)
+    assert sorted(map(tuple, queries.op8_lines(spark, str(tmp_path)).collect()), key=str) == want
+    texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_repeated_lines(spark, spark.createDataFrame(rows, fixtures.SCHEMA), str(tmp_path)).collect()}
+    assert texts[9500] == "Les.\n\nAnd ornd." and texts[9501] == "\nother and ornd." and texts[9505] == "" and texts[9507] == ""
