@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grovemark.catalog.registry import Entry, registrar, table
-from grovemark.llm import byte_pairs, languages, leaks, lines, neighbours, personal, quality, restaurants, ring, simhash
+from grovemark.llm import (
+    byte_pairs, languages, leaks, lines, manifest, neighbours, periods, personal, quality, restaurants, ring, simhash, vector_copies,
+)
 from grovemark.llm.folds import fold
 
 ENTRIES: dict[str, Entry] = {}
@@ -71,3 +73,20 @@ def op9_quality(spark, folder):
 def op10_languages(spark, folder):
     docs = table(spark, folder, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
     return languages.identify(docs, ~F.col("held_out"), carry=["held_out"])
+
+
+@query(vector_copies.SQL)
+def op11_vector_copies(spark, folder):
+    return vector_copies.near_copies(table(spark, folder, "embeddings"), threshold=0.93)
+
+
+@query(manifest.SQL)
+def op12_manifest(spark, folder):
+    return manifest.report(table(spark, folder, "documents"))
+
+
+@query()
+def op13_periods(spark, folder):
+    """Runs of six words and four periods or more, over texts a tenth of which have repeats laid in."""
+    docs = table(spark, folder, "documents").withColumn("text", periods.planted("doc_id", "text"))
+    return periods.run_report(periods.periodic_runs(docs))
