@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from grovemark.catalog import sqlparts as S
 from grovemark.catalog.labels import SQL_CUSTOMERS, SQL_PATHS, class_paths, people
 from grovemark.catalog.registry import Entry, registrar, table
 from grovemark.catalog.texts import DIMENSIONS, word_vectors
@@ -17,6 +18,7 @@ ENTRIES: dict[str, Entry] = {}
 query = registrar(ENTRIES)
 
 BLOCK_ROWS = 256  # small, so that the test tables need several blocks
+LAST_ROWS = 1_024
 
 # Orders as documents: the class of the customer, clustered by priority.
 SQL_ORDERS = f"""WITH {SQL_PATHS}, {SQL_CUSTOMERS},
@@ -125,12 +127,7 @@ def nearest_distance(spark, folder):
 
 
 def linked(spark, folder):
-    return linkage.average_linkage(table(spark, folder, "embeddings"), "vec_id", "embedding", BLOCK_ROWS)
-
-
-@query()
-def average_linkage(spark, folder):
-    return linked(spark, folder).merges.select("node_id", "left", "right", F.round("height", 6).alias("height"), "size")
+    return linkage.average_linkage(table(spark, folder, "embeddings"), "vec_id", "embedding", BLOCK_ROWS, LAST_ROWS)
 
 
 # Average linkage one merge at a time over the table of all pairs: a state holds the sum and number of distances of each
@@ -149,6 +146,22 @@ merges AS MATERIALIZED (SELECT step, min(total / weight) AS height, arg_min(a, (
   arg_min(b, (total / weight, a, b)) AS y FROM steps GROUP BY step)"""
 
 
+# The merges with their names: a leaf is below the merges of those it was taken in by (rep), from that step on.
+SQL_MERGES = f"""{SQL_LINKAGE},
+walk AS (SELECT leaf, leaf AS rep, -1 AS since FROM wide
+  UNION ALL SELECT w.leaf, m.x, m.step FROM walk w JOIN merges m ON w.rep = m.y),
+sizes AS (SELECT step, count(*) AS size FROM merges JOIN walk ON rep = x AND since <= step GROUP BY step),
+named AS MATERIALIZED (SELECT m.*, size, (SELECT count(*) FROM wide) + row_number() OVER (ORDER BY height, size, x) - 1 AS node_id
+  FROM merges m JOIN sizes USING (step)),
+tree AS MATERIALIZED (SELECT a.*, coalesce(lag(a.node_id) OVER (PARTITION BY a.x ORDER BY a.step), a.x) AS left_id, coalesce(last, a.y) AS right_id
+  FROM named a LEFT JOIN (SELECT x, arg_max(node_id, step) AS last FROM named GROUP BY x) r ON r.x = a.y)"""
+
+
+@query(f"{SQL_MERGES} SELECT node_id, left_id AS left, right_id AS right, round(height, 6) AS height, size FROM tree")
+def average_linkage(spark, folder):
+    return linked(spark, folder).merges.select("node_id", "left", "right", F.round("height", 6).alias("height"), "size")
+
+
 @query(f"{SQL_LINKAGE} SELECT step, round(height, 6) AS height FROM merges")
 def average_linkage_heights(spark, folder):
     made = linked(spark, folder)
@@ -165,15 +178,30 @@ def average_linkage_labels(spark, folder):
     return linkage.cut_labels(linked(spark, folder), 10).select("vec_id", "cluster_id")
 
 
-@query()
+SCORED_CLUSTERS = 20
+
+
+@query(
+    f"""{SQL_MERGES}, {S.LABEL_CLOSURE},
+    kept AS (SELECT * FROM tree WHERE node_id >= 2 * (SELECT count(*) FROM wide) - {SCORED_CLUSTERS}),
+    ends AS (SELECT left_id AS node FROM kept UNION ALL SELECT right_id FROM kept),
+    root AS (SELECT max(node_id) AS node FROM tree),
+    nodes AS (SELECT node FROM ends UNION SELECT node FROM root),
+    leaf_nodes AS (SELECT node FROM ends WHERE node NOT IN (SELECT node_id FROM kept)),
+    members AS (SELECT node, leaf FROM nodes JOIN tree ON node_id = node JOIN walk ON rep = x AND since <= step
+      UNION ALL SELECT node, node FROM nodes WHERE node < (SELECT count(*) FROM wide)),
+    docs AS (SELECT leaf, CAST(label AS VARCHAR) AS class FROM wide JOIN embeddings USING (vec_id)),
+    totals AS (SELECT class, count(*) AS n FROM docs GROUP BY class),
+    counts AS (SELECT node, class, count(*) AS n FROM members JOIN docs USING (leaf) GROUP BY node, class), {S.SCORES} {S.REPORT}"""
+)
 def average_linkage_scores(spark, folder):
     made = linked(spark, folder)
-    labels = linkage.cut_labels(made, 20).select("vec_id", "cluster_id")
+    labels = linkage.cut_labels(made, SCORED_CLUSTERS).select("vec_id", "cluster_id")
     documents = table(spark, folder, "embeddings").select("vec_id", F.col("label").cast("string").alias("class"))
-    return score_merge_tree(
-        documents.join(labels, "vec_id"), "cluster_id", "class", cut(made.merges), made.n_leaves, 20,
-        label_closure(spark, folder),
+    report = score_merge_tree(
+        documents.join(labels, "vec_id"), "cluster_id", "class", cut(made.merges), made.n_leaves, SCORED_CLUSTERS, label_closure(spark, folder)
     )
+    return rounded(report, *report.columns)
 
 
 @query()

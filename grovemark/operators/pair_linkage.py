@@ -82,4 +82,4 @@ def average_linkage_of_pairs(points: DataFrame, pairs: DataFrame, key: str) -> L
         n_clusters = clusters.count()
         rounds += 1
     merges = number_merges(reduce(DataFrame.unionByName, events), n_leaves)
-    return Linkage(leaves, merges, n_leaves, rounds)
+    return Linkage(leaves, merges, n_leaves, rounds, [])

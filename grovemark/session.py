@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A key is called hot when it holds more than 1/HOT_SHARE of all rows and more than HOT_ROWS rows, so at most
@@ -41,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_observed(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """cut(df), and aggregates over its rows that are taken while it is written."""
+    seen = Observation()
+    made = cut(df.observe(seen, *(measure.alias(name) for name, measure in measures.items())))
+    return made, seen.get
+
+
 def hot_hashes(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[int]:
     """Hashes of the hot keys of df: never more than HOT_SHARE values."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("hash")).agg(F.count(F.lit(1)).alias("n"))
