@@ -29,7 +29,6 @@ class MergeTree(NamedTuple):
     n_leaves: int
     merges: DataFrame
     edges: DataFrame
-    closure: DataFrame
     leaves: DataFrame
     below: DataFrame
 
@@ -68,16 +67,15 @@ def whole_tree(spark, folder):
 def merge_tree(spark, folder) -> MergeTree:
     documents, n_leaves, merges = whole_tree(spark, folder)
     all_edges = tree.merge_edges(merges)
-    whole = tree.under(all_edges, tree.tree_closure(all_edges))
-    lows = whole.groupBy(F.col("node").alias("node_id")).agg(F.min("leaf").alias("low"))
+    own = documents.select(F.col("leaf").alias("node"), F.col("leaf").alias("value"))
+    lows = tree.subtree_extremes(all_edges, own).select(F.col("node").alias("node_id"), F.col("least").alias("low"))
     merges = cut(merges.join(lows, "node_id"))
     edges = cut(tree.cut_edges(merges, n_leaves, S.K))
-    closure = tree.tree_closure(edges)
     leaves = cut(tree.cut_leaves(merges, n_leaves, S.K))
-    homes = whole.join(leaves, "node").select("leaf", "cluster_id")
-    return MergeTree(
-        cut(documents.join(homes, "leaf")), n_leaves, merges, edges, closure, leaves, cut(tree.under(edges, closure))
-    )
+    below_cut = tree.nearest_marked(all_edges, leaves).select(F.col("node").alias("leaf"), F.col("marked").alias("node"))
+    homes = below_cut.join(leaves, "node").select("leaf", "cluster_id")
+    below = cut(tree.under(edges, tree.tree_closure(edges)))
+    return MergeTree(cut(documents.join(homes, "leaf")), n_leaves, merges, edges, leaves, below)
 
 
 def label_closure(spark, folder):
@@ -142,8 +140,7 @@ def ancestor_closure(spark, folder):
 )
 def node_depths(spark, folder):
     _, _, merges = whole_tree(spark, folder)
-    edges = tree.merge_edges(merges)
-    return tree.depths(edges, tree.tree_closure(edges))
+    return tree.depths(cut(tree.merge_edges(merges)))
 
 
 @query(f"{MERGE_SQL} SELECT leaf AS node FROM base")
@@ -173,7 +170,7 @@ def node_class_counts(spark, folder):
 )
 def node_report(spark, folder):
     made = merge_tree(spark, folder)
-    report = tree.node_report(made.counts(), made.edges, made.closure, 2)
+    report = tree.node_report(made.counts(), made.edges, 2)
     entries = F.transform(F.map_entries("classes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return report.select("node", "parent", "n", joined(F.array_sort(entries)).alias("classes"))
 

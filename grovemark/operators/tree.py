@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovemark.session import cut
+from grovemark.session import HOT_ROWS, cut, cut_observed, fits, lookup_join
+
+MAX_BROADCAST_CHILDREN = 50_000  # rows of two numbers and a position
 
 
 def merge_edges(merges: DataFrame) -> DataFrame:
@@ -73,10 +77,61 @@ def tree_closure(edges: DataFrame) -> DataFrame:
         reach *= 2
 
 
-def depths(edges: DataFrame, closure: DataFrame) -> DataFrame:
+def _climb(pointers: DataFrame) -> DataFrame:
+    """Follow pointers (node, jump, distance, done) until all are done; the jump of a row that is not done is a node here.
+
+    Each round doubles the distance, one row a node: log2 of the depth rounds, each written as a table.
+    """
+    while True:
+        table, seen = cut_observed(pointers, n=F.count(F.lit(1)), waiting=F.count_if(~F.col("done")))
+        if not seen["waiting"]:
+            return table
+        onward = table.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("distance").alias("more"), F.col("done").alias("ended"))
+        still = table.filter("NOT done").drop("done")
+        # Many nodes may point at one, as below a node with many children.
+        met = lookup_join(still, onward, "jump") if seen["n"] > HOT_ROWS else still.join(onward, "jump")
+        moved = met.select("node", F.col("next").alias("jump"), (F.col("distance") + F.col("more")).alias("distance"), F.col("ended").alias("done"))
+        pointers = moved.unionByName(table.filter("done"))
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
+
+
+def depths(edges: DataFrame) -> DataFrame:
     """(node, depth), the root at depth 0."""
-    deep = closure.groupBy("node").agg(F.max("distance").alias("depth"))
-    return tree_nodes(edges).join(deep, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
+    at_root = _roots(edges).select("node", F.col("node").alias("jump"), F.lit(0).alias("distance"), F.lit(True).alias("done"))
+    up = edges.select(F.col("child").alias("node"), F.col("parent").alias("jump"), F.lit(1).alias("distance"), F.lit(False).alias("done"))
+    return _climb(at_root.unionByName(up)).select("node", F.col("distance").alias("depth"))
+
+
+def nearest_marked(edges: DataFrame, marked: DataFrame) -> DataFrame:
+    """(node, marked): the first of the marked nodes on the way from each node, itself included, to the root, if any."""
+    stops = marked.select("node").distinct()
+    at_stop = stops.select("node", F.col("node").alias("jump"), F.lit(0).alias("distance"), F.lit(True).alias("done"))
+    none = F.lit(None).cast(edges.schema["child"].dataType).alias("jump")
+    at_root = _roots(edges).join(stops, "node", "left_anti").select("node", none, F.lit(0).alias("distance"), F.lit(True).alias("done"))
+    up = edges.select(F.col("child").alias("node"), F.col("parent").alias("jump"), F.lit(1).alias("distance"), F.lit(False).alias("done"))
+    found = _climb(at_stop.unionByName(at_root).unionByName(up.join(stops, "node", "left_anti")))
+    return found.filter("jump IS NOT NULL").select("node", F.col("jump").alias("marked"))
+
+
+def subtree_extremes(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """(node, least, most): the extremes of values(node, value) at and below each node that has any.
+
+    What a node knows covers 2^k levels below it after k rounds: its own, and that of the nodes 2^k levels below, which
+    they hand up by a pointer of that length. One row a node, and log2 of the depth rounds.
+    """
+    extremes = (F.min("least").alias("least"), F.max("most").alias("most"))
+    known = cut(values.groupBy("node").agg(F.min("value").alias("least"), F.max("value").alias("most")))
+    up = cut(edges.select(F.col("child").alias("node"), F.col("parent").alias("jump")))
+    while True:
+        handed = known.join(up, "node").select(F.col("jump").alias("node"), "least", "most")
+        known = cut(known.unionByName(handed).groupBy("node").agg(*extremes))
+        onward = up.select(F.col("node").alias("jump"), F.col("jump").alias("next"))
+        up, seen = cut_observed(lookup_join(up, onward, "jump").select("node", F.col("next").alias("jump")), n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return known
 
 
 def under(edges: DataFrame, closure: DataFrame) -> DataFrame:
@@ -88,22 +143,23 @@ def under(edges: DataFrame, closure: DataFrame) -> DataFrame:
 
 def collapse_uniform(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Turn the topmost nodes whose leaves all carry one label into leaves; labels(leaf, label)."""
-    spread = (
-        under(edges, tree_closure(edges))
-        .join(labels, "leaf")
-        .groupBy("node")
-        .agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    )
-    mixed = spread.filter("least != most").select(F.col("node").alias("parent"))
+    own = labels.select(F.col("leaf").alias("node"), F.col("label").alias("value"))
+    mixed = subtree_extremes(edges, own).filter("least != most").select(F.col("node").alias("parent"))
     return edges.join(mixed, "parent", "left_semi")
 
 
 def trim_unary_chains(edges: DataFrame) -> DataFrame:
-    """Take the children from every node that heads a chain of only children ending in a leaf."""
-    forks = edges.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("parent").alias("node"))
-    above = tree_closure(edges).join(forks, "node", "left_semi").select(F.col("ancestor").alias("parent"))
-    kept = above.unionByName(forks.select(F.col("node").alias("parent"))).distinct()
-    return edges.join(kept, "parent", "left_semi")
+    """Take the children from every node that heads a chain of only children ending in a leaf.
+
+    Pointers lead from nodes with one child to the first node below that has none or several; only such runs are followed.
+    """
+    only = edges.groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("jump")).filter("n = 1")
+    only = cut(only.select(F.col("parent").alias("node"), "jump"))
+    runs_on = only.select(F.col("node").alias("jump"), F.lit(True).alias("on"))
+    pointers = only.join(runs_on, "jump", "left").select("node", "jump", F.lit(1).alias("distance"), F.col("on").isNull().alias("done"))
+    ends = _climb(pointers).select(F.col("node").alias("parent"), F.col("jump").alias("end"))
+    inner = edges.select(F.col("parent").alias("end")).distinct()
+    return edges.join(ends.join(inner, "end", "left_anti").select("parent"), "parent", "left_anti")
 
 
 def present_edges(nodes: DataFrame, seen: DataFrame) -> DataFrame:
@@ -125,44 +181,37 @@ def present_edges(nodes: DataFrame, seen: DataFrame) -> DataFrame:
 def grow_external_tree(nodes: DataFrame, seen: DataFrame, max_leaves: int, root: int = 1) -> DataFrame:
     """Edges (with label) of the external tree, grown level by level from the left until max_leaves is reached.
 
-    A node gives its children as long as the leaves made by all nodes before it are fewer than max_leaves.
+    A node gives its children as long as the leaves made by all nodes before it are fewer than max_leaves. Only nodes on
+    the levels reached are read: while leaves are to be had, a level has fewer than max_leaves nodes, which the driver holds.
     """
-    edges = cut(present_edges(nodes, seen))
-    closure = tree_closure(edges)
-    reached = closure.filter(F.col("ancestor") == root).select(
-        F.col("node"), F.col("distance").alias("depth")
-    )
-    steps = edges.select(F.col("child").alias("via"), "position")
-    ways = (
-        closure.select("node", F.col("ancestor").alias("via"), "distance")
-        .unionByName(edges.select(F.col("child").alias("node"), F.col("child").alias("via"), F.lit(0).alias("distance")))
-        .join(steps, "via")
-        .join(reached, "node")
-        .filter("distance < depth")
-    )
-    paths = ways.groupBy("node", "depth").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("rank"), "position"))).alias("way")
-    )
-    placed = paths.select("node", "depth", F.transform("way", lambda s: s["position"]).alias("path"))
-    top = edges.select(F.lit(root).cast(edges.schema["parent"].dataType).alias("node")).limit(1).select(
-        "node", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path")
-    )
-    gains = edges.groupBy(F.col("parent").alias("node")).agg((F.count(F.lit(1)) - 1).alias("gain"))
-    inner = cut(placed.unionByName(top).join(gains, "node"))
-    # Only levels reached before the budget is spent matter; each holds at most max_leaves nodes.
-    levels = inner.groupBy("depth").agg(F.sum("gain").alias("gain"))
-    before = Window.partitionBy(F.lit(0)).orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
-    open_levels = levels.select("depth", F.coalesce(F.sum("gain").over(before), F.lit(0)).alias("made")).filter(
-        F.col("made") + 1 < max_leaves
-    )
-    visit = Window.partitionBy(F.lit(0)).orderBy("depth", "path").rowsBetween(Window.unboundedPreceding, -1)
-    expanding = (
-        inner.join(open_levels.select("depth"), "depth", "left_semi")
-        .select("node", F.coalesce(F.sum("gain").over(visit), F.lit(0)).alias("made"))
-        .filter(F.col("made") + 1 < max_leaves)
-        .select(F.col("node").alias("parent"))
-    )
-    return edges.join(expanding, "parent", "left_semi")
+    stored = nodes.select("node_id", "children", "filter_value").repartitionByRange("node_id")
+    stored = cut(stored.sortWithinPartitions("node_id"))  # so that a level's nodes are found by the files' statistics
+    classes = cut(seen.select(F.col("class").alias("label")).distinct())
+    frontier, passed, made, levels = [root], {root}, 1, []
+    while frontier:
+        opened = stored.filter(F.col("node_id").isin(frontier))
+        children = opened.select(F.col("node_id").alias("parent"), F.posexplode("children").alias("position", "child"))
+        labels = stored.select(F.col("node_id").alias("child"), F.get("filter_value", F.lit(0)).alias("label"))
+        few = fits(children, MAX_BROADCAST_CHILDREN)
+        level = labels.join(F.broadcast(children) if few else children, "child").join(classes, "label", "left_semi")
+        level = cut(level.select("parent", "child", "position", "label"))
+        gains = {row["parent"]: row["count"] - 1 for row in level.groupBy("parent").count().collect()}  # a row for each node of a level
+        opening = []
+        for node in frontier:
+            if node in gains and made < max_leaves:
+                opening.append(node)
+                made += gains[node]
+        grown = level.filter(F.col("parent").isin(opening))
+        levels.append(grown)
+        frontier = []
+        if made < max_leaves and opening:  # so the opened nodes have fewer than max_leaves children
+            place = {node: k for k, node in enumerate(opening)}
+            found = grown.select("parent", "position", "child").collect()
+            frontier = [row["child"] for row in sorted(found, key=lambda row: (place[row["parent"]], row["position"]))]
+            if passed.intersection(frontier) or len(set(frontier)) < len(frontier):
+                raise ValueError("a node has two parents")
+            passed.update(frontier)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def leaf_labels(edges: DataFrame) -> DataFrame:
@@ -194,9 +243,9 @@ def contingency(documents: DataFrame, cluster: str, label: str) -> DataFrame:
     )
 
 
-def node_report(counts: DataFrame, edges: DataFrame, closure: DataFrame, depth: int) -> DataFrame:
+def node_report(counts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Nodes at one depth with parent, number of documents and a class counter."""
-    at_depth = depths(edges, closure).filter(F.col("depth") == depth)
+    at_depth = depths(edges).filter(F.col("depth") == depth)
     parents = edges.select(F.col("child").alias("node"), "parent")
     counters = counts.groupBy("node").agg(
         F.sum("n").alias("n"),

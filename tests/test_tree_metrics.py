@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from grovemark.operators import flat, metrics, tree
 from grovemark.plans.scoring import score_flat_clusters, score_merge_tree
 
-# Six documents, five merges; the cut into four clusters keeps inner nodes from 8 on.
+# Six documents, five merges; the cut into four clusters keeps inner nodes from 8 on.
 MERGES = [(6, 1, 3, 1), (7, 2, 6, 1), (8, 0, 4, 0), (9, 5, 7, 1), (10, 8, 9, 0)]
 CLASSES = ["D016640", "D003924", "D003924", "D003923", "D016640", "D003922"]
 CLUSTERS = [0, 1, 1, 1, 4, 5]
@@ -36,7 +36,7 @@ def test_cut_and_counts(toy):
     assert got == {0: (1, 1), 4: (1, 1), 5: (1, 1), 7: (3, 2), 8: (2, 2), 9: (4, 2), 10: (6, 2)}
     by_class = {r["class"]: r.recall for r in metrics.class_recall(counts, metrics.class_totals(docs, "class"), 10).collect()}
     assert by_class["D003923"] == 0
-    report = {r.node: (r.parent, r.n, r.classes) for r in tree.node_report(counts, edges, tree.tree_closure(edges), 1).collect()}
+    report = {r.node: (r.parent, r.n, r.classes) for r in tree.node_report(counts, edges, 1).collect()}
     assert report[9] == (10, 4, {"D003922": 1, "D003923": 1, "D003924": 2})
 
 
@@ -88,6 +88,64 @@ def test_deep_chain_closure(spark):
     assert closure.filter("distance != node - ancestor").count() == 0
 
 
+CHAIN = 20_000
+
+
+@pytest.fixture(scope="module")
+def chain(spark):
+    """A chain of inner nodes 0, 2, 4, ..., each with a leaf to its left; the last has two leaves."""
+    inner = spark.range(CHAIN).select((F.col("id") * 2).alias("parent"), (F.col("id") * 2 + 1).alias("a"), (F.col("id") * 2 + 2).alias("b"))
+    return inner.select("parent", F.posexplode(F.array("a", "b")).alias("position", "child")).select("parent", "child", "position")
+
+
+def test_long_chain_depths(chain):
+    found = tree.depths(chain)
+    assert found.count() == 2 * CHAIN + 1
+    assert found.filter("depth <> (node + 1) div 2").count() == 0
+
+
+def test_long_chain_pruning(chain):
+    leaves = tree.tree_leaves(chain)
+    labels = leaves.select(F.col("node").alias("leaf"), (F.col("node") > 30_000).cast("int").alias("label"))
+    kept = tree.collapse_uniform(chain, labels)
+    assert kept.count() == 2 * 15_000 and kept.agg(F.max("parent")).head()[0] == 29_998
+
+
+def test_long_chain_nearest_marked(chain, spark):
+    marked = spark.createDataFrame([(10_000,), (30_001,)], "node long")
+    found = tree.nearest_marked(chain, marked)
+    assert found.filter("marked = 30001").collect() == [(30_001, 30_001)]
+    assert found.filter("marked = 10000").count() == 2 * (CHAIN - 5_000)
+
+
+def test_long_unary_chains(spark):
+    down = spark.range(1, CHAIN).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child"), F.lit(0).alias("position"))
+    fork = spark.createDataFrame([(0, 1, 0), (0, -1, 1), (-1, -2, 0), (-2, -3, 0), (-2, -4, 1)], "parent long, child long, position int")
+    got = tree.trim_unary_chains(down.unionByName(fork)).collect()
+    assert sorted((r.parent, r.child) for r in got) == [(-2, -4), (-2, -3), (-1, -2), (0, -1), (0, 1)]
+
+
+def test_wide_tree(spark, monkeypatch):
+    monkeypatch.setattr(tree, "HOT_ROWS", 10)
+    edges = spark.range(1, 500).select((F.col("id") % 3).alias("parent"), (F.col("id") + 2).alias("child"), F.lit(0).alias("position"))
+    edges = edges.filter("parent <> 2").unionByName(spark.createDataFrame([(0, 1, 0)], "parent long, child long, position int"))
+    found = {r.node: r.depth for r in tree.depths(edges).collect()}
+    assert found[0] == 0 and found[1] == 1 and set(found.values()) == {0, 1, 2}
+
+
+def test_two_parents_are_refused(spark):
+    seen = spark.createDataFrame([(c,) for c in range(8)], "class int")
+    with pytest.raises(ValueError):
+        tree.grow_external_tree(nodes(spark, {1: [2, 3], 2: [3]}), seen, 32)
+    with pytest.raises(ValueError):
+        tree.grow_external_tree(nodes(spark, {1: [2], 2: [1]}), seen, 32)
+
+
+def test_root_without_children(spark):
+    seen = spark.createDataFrame([(1,)], "class int")
+    assert tree.grow_external_tree(nodes(spark, {1: [2, 3]}), seen, 32).count() == 0
+
+
 def nodes(spark, children):
     rows = [(i, children.get(i, []), [i]) for i in range(8)]
     return spark.createDataFrame(rows, "node_id int, children array<int>, filter_value array<int>")
