@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovemark.catalog import sqlparts as S
@@ -235,6 +238,52 @@ def linear_svm_scores(spark, folder):
     return scope.test_scores(scope.fit_linear_svm(train, "embedding", "flag"), test, "embedding", "flag")
 
 
+# The first half in the order of a seeded hash is the test set, the rest the training set.
+SQL_HALVES = """WITH ranked AS (SELECT vec_id, CAST(embedding[1] + embedding[2] + embedding[3] > 0 AS INT) AS flag,
+  row_number() OVER (ORDER BY md5('0:' || vec_id), vec_id) AS place, count(*) OVER () AS n FROM embeddings),
+train AS (SELECT vec_id, flag FROM ranked WHERE place > ceil(n * 0.5))"""
+
+
+@query(
+    f"""{SQL_HALVES}, drawn AS (SELECT * FROM (
+      SELECT r, vec_id, flag, row_number() OVER (PARTITION BY r ORDER BY md5(r || ':' || vec_id), vec_id) AS place
+      FROM train, range(5) t(r)) WHERE place <= 100),
+    pool AS (SELECT t.r AS round, d.r || ':' || vec_id AS copy, vec_id, flag FROM range(5) t(r) JOIN drawn d ON d.r <= t.r),
+    chosen AS (SELECT *, row_number() OVER (PARTITION BY round, flag ORDER BY md5(round || ':' || copy), copy) AS place FROM pool)
+    SELECT round, vec_id, flag, count(*) AS copies FROM chosen WHERE flag = 1 OR place <= 50 GROUP BY round, vec_id, flag"""
+)
+def annotation_sets(spark, folder):
+    train = cut(halves(spark, folder)[0].select("vec_id", "flag"))
+    made = scope.annotation_sets(train, "vec_id", "flag")
+    named = [rows.select(F.lit(k).cast("long").alias("round"), "vec_id", "flag") for k, rows in enumerate(made)]
+    return reduce(DataFrame.unionByName, named).groupBy("round", "vec_id", "flag").agg(F.count("*").alias("copies"))
+
+
+TRAINING_SIZES = [50, 100, 150, 200]
+
+
+@query(
+    f"""{SQL_HALVES}, ordered AS (SELECT vec_id, row_number() OVER (ORDER BY md5('0:' || vec_id), vec_id) AS place FROM train)
+    SELECT n_train, vec_id FROM ordered, unnest({TRAINING_SIZES}) t(n_train) WHERE place <= n_train"""
+)
+def training_sets_by_size(spark, folder):
+    train = cut(halves(spark, folder)[0].select("vec_id"))
+    made = scope.sets_by_size(train, "vec_id", TRAINING_SIZES)
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(size).alias("n_train"), "vec_id") for size, rows in zip(TRAINING_SIZES, made)])
+
+
+@query(
+    """WITH units AS (SELECT vec_id % 4 AS parent, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)
+        / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS unit FROM embeddings),
+    cells AS (SELECT parent, label, unnest(unit) AS x, generate_subscripts(unit, 1) AS d FROM units),
+    parts AS (SELECT parent, label, d, sum(x) AS s, count(*) AS n FROM cells GROUP BY GROUPING SETS ((parent, label, d), (parent, d)))
+    SELECT parent, label AS cluster, any_value(n) AS n, round(any_value(n) - sqrt(sum(s * s)), 6) AS cost FROM parts GROUP BY parent, label"""
+)
+def partition_costs(spark, folder):
+    vectors = table(spark, folder, "embeddings").select((F.col("vec_id") % 4).alias("parent"), F.col("label").alias("cluster"), "embedding")
+    return rounded(flat.partition_costs(vectors, "parent", "cluster", "embedding", 64), "cost")
+
+
 @query()
 def annotation_rounds(spark, folder):
     train, test = halves(spark, folder)
@@ -244,7 +293,7 @@ def annotation_rounds(spark, folder):
 @query()
 def scores_by_training_size(spark, folder):
     train, test = halves(spark, folder)
-    return scope.scores_by_training_size(train, test, "vec_id", "embedding", "flag", [50, 100, 150, 200])
+    return scope.scores_by_training_size(train, test, "vec_id", "embedding", "flag", TRAINING_SIZES)
 
 
 @query()

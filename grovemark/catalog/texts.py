@@ -58,8 +58,16 @@ def phrases(spark, folder):
     )
 
 
-def first_line(text):
-    return F.substring_index(text, "\n", 1)
+def length_phrases(spark, folder):
+    """Documents as phrases with a class for each length that a token has."""
+    docs = tokenised(spark, folder)
+    lengths = F.array_distinct(F.transform("tokens", F.length))
+
+    def places(n):
+        at = F.transform("tokens", lambda w, i: F.when(F.length(w) == n, i))
+        return F.map_from_entries(F.transform(F.filter(at, lambda i: i.isNotNull()), lambda i: F.struct(i, F.lit(1.0))))
+
+    return docs.select(F.col("doc_id").alias("id"), "tokens", F.map_from_arrays(lengths, F.transform(lengths, places)).alias("index"))
 
 
 @query("SELECT doc_id, lang, source FROM documents")
@@ -73,19 +81,20 @@ def one_line_text(spark, folder):
     return docs.select("doc_id", T.one_line(T.document_text(F.col("source"), F.col("text"))).alias("line"))
 
 
+SQL_CLEAN = r"md5(regexp_replace(regexp_replace(regexp_replace({0}, '^\[', ''), '\.\z', ''), '\]\z', ''))"
+
+
 @query(
-    r"""WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents)
-    SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(line, '^\[', ''), '\.\z', ''), '\]\z', '') AS plain,
-      regexp_replace(regexp_replace(regexp_replace('[' || line || '].', '^\[', ''), '\.\z', ''), '\]\z', '')
-        AS bracketed
-    FROM t"""
+    f"""SELECT doc_id, {SQL_CLEAN.format("text")} AS plain, {SQL_CLEAN.format("'[' || text || '].'")} AS bracketed,
+      {SQL_CLEAN.format("text || '.]'")} AS closed FROM documents"""
 )
 def title_clean(spark, folder):
-    line = first_line(F.col("text"))
+    text = F.col("text")
     return table(spark, folder, "documents").select(
         "doc_id",
-        T.clean_title(line).alias("plain"),
-        T.clean_title(F.concat(F.lit("["), line, F.lit("]."))).alias("bracketed"),
+        F.md5(T.clean_title(text)).alias("plain"),
+        F.md5(T.clean_title(F.concat(F.lit("["), text, F.lit("].")))).alias("bracketed"),
+        F.md5(T.clean_title(F.concat(text, F.lit(".]")))).alias("closed"),
     )
 
 
@@ -147,11 +156,12 @@ def numeric_key_cast(spark, folder):
 
 
 @query(
-    f"""WITH {SQL_WORDS.strip()} SELECT doc_id AS id, array_to_string(tokens, ';') AS tokens, '1;2' AS classes
+    f"""WITH {SQL_WORDS.strip()} SELECT doc_id AS id, array_to_string(tokens, ';') AS tokens,
+      array_to_string(list_sort(list_distinct(list_transform(tokens, lambda x: len(x)))), ';') AS classes
     FROM docs"""
 )
 def token_joining(spark, folder):
-    return phrases(spark, folder).select(
+    return length_phrases(spark, folder).select(
         "id", T.joined(F.col("tokens")).alias("tokens"), T.joined(T.class_keys(F.col("index"))).alias("classes")
     )
 
@@ -182,9 +192,9 @@ def out_of_scope_vocabulary(spark, folder):
     return flat.out_of_scope_words(phrases(spark, folder))
 
 
-@query("SELECT DISTINCT c AS class FROM documents, (VALUES (1), (2)) v(c)")
+@query(f"WITH {SQL_WORDS.strip()} SELECT DISTINCT CAST(len(word) AS INT) AS class FROM words")
 def classes_seen_in_phrases(spark, folder):
-    return flat.seen_classes(phrases(spark, folder))
+    return flat.seen_classes(length_phrases(spark, folder))
 
 
 @query(

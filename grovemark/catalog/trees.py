@@ -241,11 +241,6 @@ def internal_similarity(spark, folder):
     return rounded(found, "similarity")
 
 
-@query(f"{MERGE_SQL} SELECT count(DISTINCT cluster_id) AS n_clusters FROM cut_leaves")
-def distinct_clusters(spark, folder):
-    return merge_tree(spark, folder).documents.agg(F.countDistinct("cluster_id").alias("n_clusters"))
-
-
 EXTERNAL_SQL = f"WITH RECURSIVE {S.EXTERNAL_TREE}"
 
 
@@ -299,6 +294,13 @@ def cluster_assignment(spark, folder):
     return placed.select(F.col("id").cast("long").alias("o_orderkey"), "cluster_id")
 
 
+@query(f"{EXTERNAL_SQL} SELECT count(DISTINCT cluster_id) AS n_clusters FROM placed")
+def distinct_clusters(spark, folder):
+    phrases, edges = external_tree(spark, folder)
+    placed = flat.assign_to_leaves(phrases, tree.leaf_labels(cut(edges)))
+    return placed.agg(F.countDistinct("cluster_id").alias("n_clusters"))
+
+
 @query(
     f"""{EXTERNAL_SQL} SELECT o_orderkey, string_agg(k, ';' ORDER BY k) AS labels
     FROM keys JOIN grown_leaves ON k = node GROUP BY o_orderkey"""

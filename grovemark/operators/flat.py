@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovemark.functions.text import tokens_in_class, tokens_outside
+from grovemark.operators.vectors import sum_vectors, unit_vectors
 
 
 def bisecting_k_means(
@@ -30,6 +31,21 @@ def bisecting_k_means(
     return learner.fit(features).transform(features).drop("_features").unionByName(apart)
 
 
+def partition_costs(documents: DataFrame, parent: str, cluster: str, vec: str, dimensions: int) -> DataFrame:
+    """(parent, cluster, n, cost): the sum of cosine distances of a cluster's vectors to the mean of their unit vectors.
+
+    The row with a null cluster is the parent as one cluster, so what a split has gained is its cost less that of the
+    others. Rows with a null or zero vector have no part.
+    """
+    units = unit_vectors(documents.select(parent, cluster, vec).filter(F.exists(vec, lambda x: x != 0)), vec)
+    n = F.count(F.lit(1)).alias("n")
+    parts = sum_vectors(units, [parent, cluster], vec, dimensions, n)
+    # The parent's sum is that of its parts.
+    whole = sum_vectors(parts, [parent], vec, dimensions, F.sum("n").alias("n")).withColumn(cluster, F.lit(None).cast(documents.schema[cluster].dataType))
+    length = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda total, x: total + x * x))
+    return parts.unionByName(whole).select(parent, cluster, "n", (F.col("n") - length).alias("cost"))
+
+
 def seen_classes(phrases: DataFrame) -> DataFrame:
     """(class): every class that occurs in the index of some phrase."""
     return phrases.select(F.explode(F.map_keys("index")).alias("class")).distinct()

@@ -6,6 +6,8 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -72,6 +74,21 @@ def _scores_of_each(names: list[int], name: str, trainings: list[DataFrame], tes
     return reduce(DataFrame.unionByName, rows)
 
 
+def annotation_sets(train: DataFrame, key: str, label: str, rounds: int = 5, batch: int = 100, n_negative: int = 50, seed: int = 0) -> list[DataFrame]:
+    """The training rows of each round, a row as often as it was annotated.
+
+    Every round annotates batch more random training rows (a row can come again) and trains on all positive
+    annotations and up to n_negative negative ones.
+    """
+    annotated, trainings = [], []
+    for i in range(rounds):
+        new = cut(sample_exact(train, key, batch, seed + i))
+        annotated.append(new.withColumn("_copy", F.concat(F.lit(f"{i}:"), F.col(key).cast("string"))))
+        pool = reduce(DataFrame.unionByName, annotated)
+        trainings.append(sample_per_class(pool, "_copy", label, {1: None, 0: n_negative}, seed + i))
+    return trainings
+
+
 def annotation_rounds(
     train: DataFrame,
     test: DataFrame,
@@ -83,25 +100,67 @@ def annotation_rounds(
     n_negative: int = 50,
     seed: int = 0,
 ) -> DataFrame:
-    """One row of test scores per round.
-
-    Every round annotates batch more random training rows (a row can come again) and trains on all positive
-    annotations and up to n_negative negative ones.
-    """
+    """One row of test scores per round of annotation_sets."""
     train, test = cut(train.select(key, vec, label)), cut(test.select(vec, label))
-    annotated, trainings = [], []
-    for i in range(rounds):
-        new = sample_exact(train, key, batch, seed + i)
-        annotated.append(new.withColumn("_copy", F.concat(F.lit(f"{i}:"), F.col(key).cast("string"))))
-        pool = reduce(DataFrame.unionByName, annotated)
-        trainings.append(sample_per_class(pool, "_copy", label, {1: None, 0: n_negative}, seed + i))
+    trainings = annotation_sets(train, key, label, rounds, batch, n_negative, seed)
     return _scores_of_each(list(range(rounds)), "round", trainings, test, vec, label)
 
 
+def sets_by_size(train: DataFrame, key: str, sizes: list[int], seed: int = 0) -> list[DataFrame]:
+    """A training set for each size; a smaller one is part of every larger one."""
+    return [sample_exact(train, key, size, seed) for size in sizes]
+
+
 def scores_by_training_size(
     train: DataFrame, test: DataFrame, key: str, vec: str, label: str, sizes: list[int], seed: int = 0
 ) -> DataFrame:
-    """One row of test scores per training size; a smaller training set is part of every larger one."""
+    """One row of test scores per training size."""
     train, test = cut(train.select(key, vec, label)), cut(test.select(vec, label))
-    trainings = [sample_exact(train, key, size, seed) for size in sizes]
-    return _scores_of_each(sizes, "n_train", trainings, test, vec, label)
+    return _scores_of_each(sizes, "n_train", sets_by_size(train, key, sizes, seed), test, vec, label)
+
+
+def duality_gap(model: LinearSVCModel, training: DataFrame, vec: str, label: str, c: float = 1.0, steps: int = 40) -> DataFrame:
+    """(primal, dual, gap): how far at most the fitted plane is from the best one, in the objective it was fitted to.
+
+    The objective is the mean hinge loss plus half of 1 / (c n) times the squared length of the weights. Weights between 0 and
+    1 / n for the rows, with equal sums in both classes, bound it from below. They are taken from the margins: 1 / n inside
+    the margin, 0 beyond it and a share on a band around it, whose width is the best of `steps` halvings; the larger class
+    is scaled down to the sum of the smaller one. A share cannot change which bound holds, only how close it is.
+    """
+    y = F.when(F.col(label).cast("double") > 0.5, 1.0).otherwise(-1.0)
+    rows = training.select(y.alias("y"), F.col(vec).cast("array<double>").alias("x"))
+    w, intercept = model.coefficients.toArray(), model.intercept
+    best = (-math.inf, 0.0)
+    bands, width = 2.0 ** -np.arange(steps), 1 + len(w)
+
+    def summed(batches):
+        total, seen = np.zeros((2, steps, width)), np.zeros(2)
+        for batch in batches:
+            sign = batch.column(0).to_numpy()
+            x = np.asarray(batch.column(1).flatten(), float).reshape(-1, width - 1)
+            m = sign * (x @ w + intercept)
+            seen += len(m), np.maximum(1 - m, 0).sum()
+            shares = np.clip((1 + bands[:, None] - m) / (2 * bands[:, None]), 0, 1)
+            for k, own in enumerate((sign > 0, sign < 0)):
+                total[k] += shares[:, own] @ np.column_stack([np.ones(own.sum()), x[own]])
+        cells = np.concatenate([total.ravel(), seen])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], names=["cell", "value"])
+
+    cells = rows.mapInArrow(summed, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+    found = np.zeros(2 * steps * width + 2)
+    for row in cells.collect():  # two classes, steps bands, a sum for each dimension
+        found[row["cell"]] = row["value"]
+    n, loss = found[-2:].tolist()
+    weight = 1.0 / (c * n)
+    primal = loss / n + weight / 2 * float(w @ w)
+    found = found[:-2].reshape(2 * steps, width)
+    for above, below in zip(found[:steps], found[steps:]):
+        total = float(min(above[0], below[0]))
+        if total > 0:
+            pull = total * (above[1:] / above[0] - below[1:] / below[0]) / n
+            # Any part of these weights is allowed too; this is the best part.
+            length = float(pull @ pull) / weight
+            part = min(1.0, 2 * total / n / length) if length > 0 else 1.0
+            best = max(best, (part * 2 * total / n - part * part * length / 2, part))
+    dual = max(best[0], 0.0)
+    return rows.sparkSession.createDataFrame([(primal, dual, primal - dual)], "primal double, dual double, gap double")

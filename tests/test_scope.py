@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from grovemark.catalog.clusters import halves
 from grovemark.operators import flat, scope
 from grovemark.plans.corpus import cluster_corpus, discover_stop_words
 
@@ -70,3 +71,20 @@ def test_k_means_on_separable_groups(spark):
             groups = {frozenset(i for i in range(80) if got[i] == c) for c in {got[i] for i in range(80)}}
             assert groups == {frozenset(range(k, 80, 4)) for k in range(4)} and got[101] is None
             assert (got[100] is None) == (distance == "cosine")
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_fitted_plane_is_nearly_the_best(spark, folder):
+    train, _ = halves(spark, f"/root/testdata/{folder}")
+    model = scope.fit_linear_svm(train, "embedding", "flag")
+    found = scope.duality_gap(model, train, "embedding", "flag").head()
+    assert found.dual > 0 and -1e-9 <= found.gap <= 0.02 * found.primal
+
+
+def test_gap_of_a_worse_plane_is_larger(spark):
+    train, _ = halves(spark, "/root/testdata/sf0.001")
+    train = train.select("vec_id", "embedding", "flag")
+    worse = scope.fit_linear_svm(train, "embedding", "flag", max_iter=1)
+    better = scope.fit_linear_svm(train, "embedding", "flag")
+    gaps = [scope.duality_gap(model, train, "embedding", "flag").head().gap for model in (worse, better)]
+    assert gaps[0] > 2 * gaps[1]
