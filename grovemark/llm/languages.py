@@ -6,7 +6,8 @@ language whose dictionary leaves the fewest bytes is chosen. The margin is the s
 larger; a margin below `min_margin` is reported as rejected, beside the best guess.
 
 The sample is the `sample_rows` documents of each language with the smallest hash of text and id, cut to `dictionary_bytes`
-in all; languages are counted over all training rows. Scoring is a pass over the texts without a shuffle.
+in all; so the driver needs no more text of a language than whole texts of four times that many characters, and one more.
+Languages are counted over all training rows. Letters are the characters for which str.isalpha() holds; all others part words, combining marks too. Scoring is a pass over the texts without a shuffle.
 
 Defined cases: a text that is null or without a letter is `und` with score 0; rows without a language teach nothing; where
 sizes tie the language with more training rows, then the smaller name, is chosen; without training rows all is `und`;
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +27,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_LANGUAGES = 500  # dictionaries that a task can hold
-NOT_A_LETTER = re.compile(r"[\W\d_]+")
+# Word characters that are no letters: decimal digits, and numbers of other kinds such as fractions and numerals.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+NOT_A_LETTER = re.compile(rf"[\W\d_{NUMBERS}]+")
 
 
 def reduced(text: str) -> bytes:
@@ -33,7 +37,7 @@ def reduced(text: str) -> bytes:
     return f" {NOT_A_LETTER.sub(' ', text.lower()).strip()} ".encode()
 
 
-def sampled_texts(docs: DataFrame, text: str, lang: str, sample_rows: int) -> tuple[dict[str, int], list[tuple[str, str]]]:
+def sampled_texts(docs: DataFrame, text: str, lang: str, sample_rows: int, dictionary_bytes: int) -> tuple[dict[str, int], list[tuple[str, str]]]:
     """Training rows of each language, and the texts of its sample, at most sample_rows for each."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {row[lang]: row["n"] for row in labelled.groupBy(lang).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
@@ -49,7 +53,9 @@ def sampled_texts(docs: DataFrame, text: str, lang: str, sample_rows: int) -> tu
     )
     distinct = thin.dropDuplicates(["lang", "h"])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    rows = distinct.withColumn("place", place).filter(F.col("place") <= sample_rows).orderBy("lang", "h").select("lang", "text")
+    chosen = distinct.withColumn("place", place).filter(F.col("place") <= sample_rows)
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h")) - F.length("text")
+    rows = chosen.withColumn("before", before).filter(F.col("before") < 4 * dictionary_bytes).orderBy("lang", "h").select("lang", "text")
     return counts, [(row["lang"], row["text"]) for row in rows.collect()]
 
 
@@ -69,7 +75,7 @@ def identify(
     """(key, *carry, lang_pred, score, rejected): score is the best language's share when sizes are weighed by the
     likelihood that they stand for. Rows for which `train` holds teach; all rows are scored.
     """
-    counts, texts = sampled_texts(docs.filter(train), text, lang, sample_rows)
+    counts, texts = sampled_texts(docs.filter(train), text, lang, sample_rows, dictionary_bytes)
     contents = dictionaries(texts, dictionary_bytes)
     names = sorted(contents, key=lambda name: (-counts[name], name))
     shared = docs.sparkSession.sparkContext.broadcast([contents[name] for name in names])

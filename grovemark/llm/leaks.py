@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovemark.llm.columns import unused
+
 MAX_WORDS = 2_000_000
 WORD = re.compile(r"\w+")
 STRETCH = 3  # steps of a walk for each word
@@ -253,5 +255,6 @@ def find_leaks(
 
 def remove_leaks(docs: DataFrame, leaks: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without the documents that hold an item. Rows with a null key are kept unless such a row holds one."""
-    held = leaks.select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, F.col(key).cast("long").eqNullSafe(F.col("_held")), "left_anti")
+    (name,) = unused(docs, "_held")
+    held = leaks.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(held, F.col(key).cast("long").eqNullSafe(F.col(name)), "left_anti")

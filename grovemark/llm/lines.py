@@ -28,6 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovemark.llm.columns import unused
 from grovemark.session import cut, fits
 
 CELL_BITS = 17
@@ -195,20 +196,14 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     return stay.groupBy("place.doc", "place.row").agg(F.sort_array(F.collect_list("place.line_no")).alias("kept"))
 
 
-def with_kept(docs: DataFrame, key: str, text: str, threshold: float, min_words: int) -> DataFrame:
-    """docs with the column kept (an empty list where no line stays)."""
-    kept = kept_lines(docs, key, text, threshold, min_words).select(
-        F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("kept").alias("_kept")
-    )
-    same = F.col(key).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text)) == F.col("_row"))
-    return docs.join(kept, same, "left").drop("_doc", "_row").withColumn("_kept", F.coalesce("_kept", F.expr("CAST(array() AS array<int>)")))
-
-
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, min_words: int = 5) -> DataFrame:
     """docs with the matched lines taken out of the text."""
+    doc, row, kept = unused(docs, "_doc", "_row", "_kept")
+    stay = kept_lines(docs, key, text, threshold, min_words).select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("kept").alias(kept))
+    same = F.col(key).cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(text)) == F.col(row))
     lines = F.split(F.col(text), "\n", -1)
-    rest = F.array_join(F.transform("_kept", lambda k: F.get(lines, k)), "\n")
-    found = with_kept(docs, key, text, threshold, min_words)
+    rest = F.array_join(F.transform(F.coalesce(kept, F.expr("CAST(array() AS array<int>)")), lambda k: F.get(lines, k)), "\n")
+    found = docs.join(stay, same, "left")
     return found.withColumn(text, F.when(F.col(text).isNotNull(), rest)).select(*docs.columns)
 
 

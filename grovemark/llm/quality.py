@@ -16,6 +16,7 @@ each class, is every score; without labels every score is 0.5; rows that repeat
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -26,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovemark.llm.columns import unused
+
 FEATURES = (
     "log_bytes", "log_words", "word_length", "letters", "capitals", "digits", "spaces", "marks", "beyond_ascii", "distinct_words",
     "top_word", "bare_marks", "marked_ends", "short_words", "line_length", "repeated_lines", "distinct_pairs", "capital_starts",
 )
+BARE = re.compile(rb"[0-9A-Za-z\x80-\xff]")  # a word without any of these is of marks only
 BYTE_CLASSES = np.zeros((256, 6))
 for _k, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\x0c")):
     BYTE_CLASSES[list(_set), _k] = 1
@@ -48,7 +52,7 @@ def features(text: str | None) -> list[float]:
     solid, letters = size - space, small + large
     distinct = Counter(words)
     forms = list(distinct.items())
-    bare = sum(k for w, k in forms if not w.isalnum() and not any(c > 127 or chr(c).isalnum() for c in w[:64]))
+    bare = sum(k for w, k in forms if not BARE.search(w))
     ends = sum(k for w, k in forms if len(w) > 2 and w[-1] < 128 and w[-2] < 128 and not chr(w[-1]).isalnum() and not chr(w[-2]).isalnum())
     short = sum(k for w, k in forms if len(w) <= 3)
     starts = sum(k for w, k in forms if 65 <= w[0] <= 90)
@@ -184,8 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, chosen: Column, key: str = "doc_id
     return fit(x, np.array([row["y"] for row in rows], float))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all by default) of docs, with score and predicted."""
+def score(
+    docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
+    """The columns `keep` (all by default) of docs, with score and predicted, or by the names given for these."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = keep or docs.columns
 
@@ -194,8 +200,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             rows = [features(value.as_py()) for value in batch.column(len(kept))]
             found = shared.value.scores(np.array(rows, float).reshape(len(rows), len(FEATURES)))
             added = [pa.array(found), pa.array((found >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *added], names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *added], names=[*kept, *names])
 
-    both = docs.select(*kept, F.col(text).cast("string").alias("_text"))
+    both = docs.select(*kept, F.col(text).cast("string").alias(*unused(docs, "_text")))
     kinds = ", ".join(f"`{name}` {kind}" for name, kind in both.dtypes[:-1])
-    return both.mapInArrow(scored, f"{kinds}, score double, predicted int")
+    return both.mapInArrow(scored, f"{kinds}, `{names[0]}` double, `{names[1]}` int")

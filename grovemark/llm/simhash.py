@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovemark.llm.byte_pairs import gathered
+from grovemark.llm.columns import unused
 from grovemark.llm.components import components
 from grovemark.session import cut
 
@@ -352,27 +353,16 @@ def near_copies(
     return made.join(named, "node").select("doc_id", "row", "f0", "component", "component_id")
 
 
-def bits_for(similarity: float, size: int) -> int:
-    """The differing bits to expect of `size` where the shingle sets have this Jaccard similarity and equal sizes."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(size * math.acos(cosine) / math.pi)
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest id stays, then the smallest hash of its text.
-
-    Fingerprints have 256 bits and link at the number of differing bits that the similarity stands for, with a slack of
-    one in the first 64 and four in all, so that pairs at the border are found more often than not.
-    """
-    bits, wide_bits = bits_for(similarity, 64) + 1, bits_for(similarity, 256) + 4
-    found = near_copies(docs, key, text, words, bits, 4, wide_bits)
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
+    """docs without near copies: of each component the row with the smallest id stays, then the smallest hash of its text."""
+    doc, row = unused(docs, "_doc", "_row")
+    found = near_copies(docs, key, text, words, bits)
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("stays"))
-    stays = cut(first.select(F.col("stays.doc_id").alias("_doc"), F.col("stays.row").alias("_row")))
-    row = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    same = F.col(key).cast("long").eqNullSafe(F.col("_doc")) & (row == F.col("_row"))
-    kept = docs.join(stays, same, "left_semi")
+    stays = cut(first.select(F.col("stays.doc_id").alias(doc), F.col("stays.row").alias(row)))
+    hashed = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    kept = docs.join(stays, F.col(key).cast("long").eqNullSafe(F.col(doc)) & (hashed == F.col(row)), "left_semi")
     # Rows that agree in id and text are copies of each other too.
-    again = kept.groupBy(F.col(key).cast("long").alias("_doc"), row.alias("_row")).count().filter("count > 1")
+    again = kept.groupBy(F.col(key).cast("long"), hashed).count().filter("count > 1")
     if again.isEmpty():
         return kept
-    return kept.withColumn("_row", row).dropDuplicates([key, "_row"]).drop("_row")
+    return kept.withColumn(row, hashed).dropDuplicates([key, row]).drop(row)

@@ -45,6 +45,40 @@ def test_language_held_out(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97 and all(0 <= r["score"] <= 1 for r in held)
 
 
+def test_words_are_judged_whole():
+    long_marks = "." * 200
+    place = quality.FEATURES.index("bare_marks")
+    assert quality.features(f"{long_marks} a b c")[place] == 0.25 and quality.features(f"{long_marks}x a b c")[place] == 0
+
+
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "the cat sat there", "en"), (2, "½ ²", None), (3, "Ⅷ ① 42 _", None), (4, "²a", None), (5, "\u0301 ٣", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in languages.identify(docs, F.lit(True)).collect()}
+    assert got == {1: "en", 2: "und", 3: "und", 4: "en", 5: "und"}
+
+
+def test_language_as_plain_compression(spark):
+    """The predictions and scores, restated without Spark."""
+    import zstandard
+
+    docs = fixtures.given(spark).join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang"), "doc_id")
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in languages.identify(docs, F.lit(True), sample_rows=10_000).collect()}
+    rows = docs.withColumn("h", F.pmod(F.xxhash64(F.col("text"), F.lit("sample")), F.lit(1 << 40))).collect()
+    clean = lambda text: f" {' '.join(''.join(c if c.isalpha() else ' ' for c in text.lower()).split())} ".encode()
+    content, counts = {}, {}
+    for r in sorted({(r["lang"], r["h"], r["text"]) for r in rows}):
+        if len(content.get(r[0], b"")) < 200_000:
+            content[r[0]] = content.get(r[0], b"") + clean(r[2])
+    for r in rows:
+        counts[r["lang"]] = counts.get(r["lang"], 0) + 1
+    names = sorted(content, key=lambda name: (-counts[name], name))
+    packers = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content[n][:200_000], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for n in names]
+    for r in rows:
+        sizes = [len(p.compress(clean(r["text"]))) for p in packers]
+        best = sizes.index(min(sizes))
+        assert got[r["doc_id"]][0] == names[best]
+
+
 def test_language_odd_rows(spark):
     docs = fixtures.odd(spark, [(1, "le la les un une du")]).withColumn("lang", F.when(F.col("doc_id") == 1, "fr"))
     got = languages.identify(docs, F.lit(True)).collect()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from grovemark.session import cut
+from tests.llm import fixtures
 
 FOLDER = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -17,7 +18,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 def test_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first()["text"]
-    words = [f"term{k}" for k in range(150)]
+    words = [f"term{k}" for k in range(1_000)]
     planted = [
         (5_000, " ".join(words), "en", "s", 0), (5_001, " ".join(words[:70] + ["swapped"] + words[71:]) + ".", "en", "s", 0),
         (5_002, f"Plain words before. {item} Plain words after.", "en", "s", 0), (5_003, None, "en", "s", 0), (None, "", None, None, None),
@@ -35,12 +36,27 @@ def test_stages(spark):
 
 
 def test_near_copies_go(spark):
-    words = [f"term{k}" for k in range(150)]
+    words = [f"term{k}" for k in range(1_000)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:70] + ["x"] + words[71:])), (3, " ".join(reversed(words)))], "doc_id long, text string")
     kept = corpus_pipeline.without_near_copies(spark, docs, FOLDER)
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_odd_rows_and_clashing_columns(spark):
+    """Every stage takes nulls, repeated rows, very long texts and columns by the names that operators use."""
+    names = ("score", "predicted", "_text", "_row", "__row", "_doc", "_kept", "_held", "row", "words", "lines", "node", "Predicted_")
+    rows = fixtures.odd(spark).select("doc_id", "text").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.lit(1).cast("long")})
+    docs = cut(rows.unionByName(spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id < 40")).withColumns({name: F.lit("x") for name in names}))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = cut(stage(spark, docs, FOLDER))
+        assert made.columns == docs.columns, name
+        assert made.filter("score <> 'x' OR _row <> 'x' OR _held <> 'x'").count() == 0
+        assert 0 < made.count() <= docs.count()
+        docs = made
+    assert docs.groupBy("doc_id", "text").count().filter("count > 1").count() == 0
+    assert corpus_pipeline.tokens(spark, docs, FOLDER).count() == docs.count()
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
