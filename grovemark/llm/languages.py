@@ -27,14 +27,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_LANGUAGES = 500  # dictionaries that a task can hold
-# Word characters that are no letters: decimal digits, and numbers of other kinds such as fractions and numerals.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-NOT_A_LETTER = re.compile(rf"[\W\d_{NUMBERS}]+")
+NOT_A_LETTER = re.compile(r"[\W\d_]+")
+# Word characters that are no letters either: numbers of other kinds, such as fractions and numerals.
+NUMBERS = {c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
+AS_SPACES = dict.fromkeys(map(ord, NUMBERS), " ")
 
 
 def reduced(text: str) -> bytes:
     """Lower-case words of letters with one space between them and at both ends."""
-    return f" {NOT_A_LETTER.sub(' ', text.lower()).strip()} ".encode()
+    text = text.lower()
+    if not text.isascii() and not NUMBERS.isdisjoint(text):
+        text = text.translate(AS_SPACES)
+    return f" {NOT_A_LETTER.sub(' ', text).strip()} ".encode()
 
 
 def sampled_texts(docs: DataFrame, text: str, lang: str, sample_rows: int, dictionary_bytes: int) -> tuple[dict[str, int], list[tuple[str, str]]]:
