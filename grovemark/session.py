@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A key is called hot when it holds more than 1/HOT_SHARE of all rows and more than HOT_ROWS rows, so at most
@@ -47,10 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_observed(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
-    """cut(df), and aggregates over its rows that are taken while it is written."""
-    seen = Observation()
-    made = cut(df.observe(seen, *(measure.alias(name) for name, measure in measures.items())))
-    return made, seen.get
+    """cut(df), and aggregates over its rows, read from the table.
+
+    An Observation would save the read, but a session that has used one cannot ship fitted models to its tasks any more.
+    """
+    made = cut(df)
+    return made, made.agg(*(measure.alias(name) for name, measure in measures.items())).head().asDict()
 
 
 def hot_hashes(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[int]:
