@@ -8,13 +8,17 @@ lines with the same set go.
 Sets that match and are not equal have at least s words in common, where s / (s + 1) reaches the threshold (four at 0.8),
 so smaller sets match by equality alone. Words of a set are ordered by rarity, the rarest first. A set of n words is filed under its first n - ceil(t n) + 2
 words; two sets that match share two of these. A pair is a candidate if it does, if the sizes allow it (t |x| <= |y|),
-if enough words can still follow the shared ones in both orders (the positional filter), and if two 64-bit summaries of the
+if enough words can still follow the shared ones in both orders (the positional filter), and if 64-bit summaries of the
 sets do not rule it out. Candidates are verified on the whole sets. Rarity is the count over all documents of the words that fall in the same
 of 2^17 hash cells: any fixed order gives the same matches, and the counts are a table of constant size.
 
-Keys that a sample of the sets shows to be frequent, as in a family of near copies, take another road with the same
-result: their sets are cut into tiles of bounded size, and a tile only asks of each set whether an earlier one matches, so
-it gives no pairs; one shared frequent word is enough there. The sample decides the road, never the result.
+Before pairs are formed, each set is compared with the earliest one under each of its rarest words, one row a word, which
+settles the families of near copies. A set that matches there goes, but still counts as earlier for others; in the join only
+sets that are not settled look for an earlier one, so a family gives rows in proportion to its size.
+
+Words that a sample of the sets shows to be frequent take another road with the same result: the sets under them are cut
+into tiles of bounded size, and a tile only asks of each open set whether an earlier one matches, so it gives no pairs; one
+shared frequent word is enough there. The sample decides the road, never the result.
 
 Defined cases: lines with fewer than `min_words` distinct words stay and match nothing; a null text stays null; an empty
 text stays empty; texts and lines of any length are taken whole; rows that agree in doc_id and text are treated alike;
@@ -25,7 +29,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovemark.llm.columns import unused
@@ -34,9 +38,13 @@ from grovemark.session import cut, fits
 CELL_BITS = 17
 SAMPLE = 16  # one set in so many is counted to find frequent keys
 HOT_IN_SAMPLE = 64
+SETTLING = 3  # so many of the rarest words of a set lead to an earlier one before pairs are formed
+SALTS = 256  # groups of the sets under a frequent word
 SHARED = 2  # words that two prefixes must share; a match of unequal sets has at least four in common at 0.8
 TILE_ROWS = 512
 MAX_BROADCAST_ROWS = 200_000  # of two numbers and a short list each
+NO_DOC = -(2**63) + 1  # stands for a null id in the order of documents
+MAX_SETTLED = 1_000_000  # of one number each
 SPACES = "[ \\t\\r\\n\\x0b\\x0c]+"
 
 
@@ -57,7 +65,7 @@ def cell_ranks(docs: DataFrame, text: str) -> Column:
 
 
 def representatives(docs: DataFrame, key: str, text: str, threshold: float, min_words: int) -> DataFrame:
-    """(sig, n, bits0, bits1, prefix, place) of each distinct word set, where place is its first line; a table."""
+    """(sig, n, bits, prefix, place) of each distinct word set, where place is its first line; a table."""
     ranks = cell_ranks(docs, text)
     named = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("body"))
     lines = named.select("doc", "row", F.posexplode(F.split("body", "\n", -1)).alias("line_no", "line"))
@@ -75,11 +83,9 @@ def representatives(docs: DataFrame, key: str, text: str, threshold: float, min_
     compared = enough & (F.col("n") >= F.lit(least_common(threshold)))
     length = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + shared_words(threshold, min_words)).cast("int")
 
-    def summary(k: int) -> Column:
-        """64 bits, of which each word sets one."""
-        place = lambda w: F.shiftright(w, k).bitwiseAND(F.lit(63)).cast("int")
-        bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), place(w))
-        return F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(bit(w)))
+    # 64 bits, of which each word sets one.
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
+    summary = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(bit(w)))
 
     # 31 bits of a word's hash are enough to file it under: words that share them are told apart when pairs are verified.
     prefix = F.transform(F.slice("words", F.lit(1), length), lambda w: F.shiftright(w, 12).bitwiseAND(F.lit(2**31 - 1)).cast("int"))
@@ -87,11 +93,10 @@ def representatives(docs: DataFrame, key: str, text: str, threshold: float, min_
         F.when(enough, F.xxhash64("words")).otherwise(F.xxhash64("place", F.lit("short"))).alias("sig"),
         F.when(enough, F.col("n")).otherwise(0).alias("n"),
         F.when(compared, prefix).alias("prefix"),
-        F.when(enough, summary(0)).alias("bits0"),
-        F.when(enough, summary(6)).alias("bits1"),
+        F.when(compared, summary).alias("bits"),
         "place",
     )
-    one = sets.groupBy("sig").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "bits0", "bits1", "prefix")))
+    one = sets.groupBy("sig").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix")))
     return cut(one)
 
 
@@ -106,19 +111,29 @@ def shared_words(threshold: float, min_words: int) -> int:
 
 
 def entries_of(reps: DataFrame) -> DataFrame:
-    return reps.filter("n > 0").select(F.posexplode("prefix").alias("at", "key"), "sig", "n", "bits0", "bits1")
+    """A row for each word of a prefix. doc orders the sets but for those of one document; shape packs n, at and open.
+
+    reps has a column open: whether the set still looks for an earlier one.
+    """
+    shape = F.expr("shiftleft(CAST(n AS BIGINT), 32) | shiftleft(CAST(at AS BIGINT), 1) | CAST(open AS BIGINT)")
+    doc = F.coalesce("place.doc", F.lit(NO_DOC))
+    return reps.filter("n > 0").select(F.posexplode("prefix").alias("at", "key"), "*").select("key", "sig", doc.alias("doc"), shape.alias("shape"), "bits")
 
 
 def possible(threshold: float, shared: int) -> Column:
-    """Whether rows a and b under one key may match: sizes, places of the shared word, summaries."""
-    need = F.expr(f"(a.n + b.n) * {threshold / (1 + threshold)!r}D - 1e-9D")
-    sizes = F.expr(f"a.n >= b.n * {threshold!r}D - 1e-9D AND b.n >= a.n * {threshold!r}D - 1e-9D")
-    only_a = F.expr("a.n - bit_count(a.bits0 & ~b.bits0)") >= need
-    only_b = F.expr("b.n - bit_count(b.bits0 & ~a.bits0)") >= need
-    more_a, more_b = (F.expr(f"{x}.n - bit_count({x}.bits1 & ~{y}.bits1)") >= need for x, y in (("a", "b"), ("b", "a")))
+    """Whether the set of row a may match that of row b, under the same key: sizes, places of the shared word, summaries."""
+    n = {x: f"shiftright({x}.shape, 32)" for x in "ab"}
+    left = {x: f"({n[x]} - (shiftright({x}.shape, 1) & 2147483647L))" for x in "ab"}
+    need = f"({n['a']} + {n['b']}) * {threshold / (1 + threshold)!r}D - 1e-9D"
+    sizes = f"{n['a']} >= {n['b']} * {threshold!r}D - 1e-9D AND {n['b']} >= {n['a']} * {threshold!r}D - 1e-9D"
+    bits = f"{n['a']} - bit_count(a.bits & ~b.bits) >= {need} AND {n['b']} - bit_count(b.bits & ~a.bits) >= {need}"
     # The first words that two sets share have at most that many shared words before them.
-    places = F.expr(f"LEAST(a.n - a.at, b.n - b.at) + {shared - 1}") >= need
-    return sizes & only_a & only_b & more_a & more_b & places
+    return F.expr(f"{sizes} AND {bits} AND LEAST({left['a']}, {left['b']}) + {shared - 1} >= {need}")
+
+
+# An open set looks for one of the same or an earlier document. The flag is part of a comparison of both sides, so that both
+# sides of the join stay the same shuffle.
+LATER = "IF(a.shape & 1 = 1, a.doc, shiftleft(1L, 63)) >= b.doc AND a.sig <> b.sig"
 
 
 def similar(a: Column, b: Column, threshold: float) -> Column:
@@ -132,58 +147,81 @@ def marked(entries: DataFrame, hot: DataFrame, few: bool) -> DataFrame:
 
 
 def words_of_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(sig, place, words) of the sets in wanted (sig, place), read again from their first lines; a table."""
-    by_row = cut(wanted.groupBy("place.doc", "place.row").agg(F.collect_list(F.struct("sig", "place")).alias("lines")))
+    """(sig, place, home, words) of the sets in wanted (sig, place, home), read again from their first lines; a table.
+
+    Rows that agree in id and text give a set more than once.
+    """
+    by_row = cut(wanted.groupBy("place.doc", "place.row").agg(F.collect_list(F.struct("sig", "place", "home")).alias("lines")))
     named = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("body"))
     few = fits(by_row, MAX_BROADCAST_ROWS)
     same = named["doc"].eqNullSafe(by_row["doc"]) & (named["row"] == by_row["row"])
     found = named.join(F.broadcast(by_row) if few else by_row, same).select("body", "lines")
     lines = found.withColumn("all", F.split("body", "\n", -1)).select("all", F.explode("lines").alias("one"))
     words = F.array_distinct(words_of(F.element_at("all", F.col("one.place.line_no") + 1)))
-    return cut(lines.select("one.sig", "one.place", words.alias("words")).dropDuplicates(["sig"]))
+    return cut(lines.select("one.*", words.alias("words")))
 
 
 def matched(docs: DataFrame, reps: DataFrame, key: str, text: str, threshold: float, min_words: int) -> DataFrame:
     """sig of every set whose first line matches an earlier line with another set."""
-    entries, shared = entries_of(reps), shared_words(threshold, min_words)
-    seen = entries.filter(F.pmod("sig", F.lit(SAMPLE)) == 0).groupBy("key").count()
+    shared = shared_words(threshold, min_words)
+    seen = entries_of(reps.filter(F.pmod("sig", F.lit(SAMPLE)) == 0).withColumn("open", F.lit(True))).groupBy("key").count()
     hot = cut(seen.filter(F.col("count") >= HOT_IN_SAMPLE).select("key"))
-    few = fits(hot, MAX_BROADCAST_ROWS)
-    split = marked(entries, hot, few)
+    few_hot = fits(hot, MAX_BROADCAST_ROWS)
+    gone = settled(docs, reps, hot, few_hot, key, text, threshold)
+    few = fits(gone, MAX_SETTLED)
+    marks = gone.withColumn("_gone", F.lit(True))
+    open_ = reps.join(F.broadcast(marks) if few else marks, "sig", "left").withColumn("open", F.col("_gone").isNull())
+    split = marked(entries_of(open_), hot, few_hot)
     cold = split.filter("hot IS NULL").drop("hot")
-    pairs = cold.alias("a").join(cold.alias("b"), F.expr("a.key = b.key AND a.sig < b.sig") & possible(threshold, shared))
-    counted = pairs.groupBy(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).agg(F.count("*").alias("n"))
+    both = cold.alias("a").join(cold.alias("b"), F.expr("a.key = b.key") & F.expr(LATER) & possible(threshold, shared))
+    counted = both.groupBy(F.col("a.sig").alias("sig"), F.col("b.sig").alias("other")).agg(F.count("*").alias("n"))
     pairs = cut(counted.filter(F.col("n") >= shared))
     dense = cut(split.filter("hot").drop("hot"))
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(dense.select("sig")).distinct()
-    whole = words_of_sets(docs, key, text, reps.join(wanted, "sig").select("sig", "place"))
-    # An earlier match is enough: the earlier candidate that shares most words is tried first, the others if it fails.
-    place = whole.select("sig", "place")
-    placed = pairs.join(place.toDF("a", "place_a"), "a").join(place.toDF("b", "place_b"), "b")
-    a_later = F.col("place_a") > F.col("place_b")
-    directed = cut(placed.select(F.when(a_later, F.col("a")).otherwise(F.col("b")).alias("sig"), F.when(a_later, F.col("b")).otherwise(F.col("a")).alias("other"), "n"))
-    best = directed.groupBy("sig").agg(F.max(F.struct("n", "other")).alias("best")).select("sig", F.col("best.other").alias("other"))
-    found = cut(verified(best, whole, threshold))
-    rest = directed.select("sig", "other").join(found, "sig", "left_anti")
-    return found.union(verified(rest, whole, threshold)).union(hot_matched(dense, whole, threshold, shared)).distinct()
-
-
-def verified(pairs: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
-    """sig of the pairs (sig, other) whose whole sets match."""
-    left = whole.select("sig", F.col("words").alias("x"))
-    right = whole.select(F.col("sig").alias("other"), F.col("words").alias("y"))
-    both = pairs.join(left, "sig").join(right, "other")
-    return both.filter(similar(F.col("x"), F.col("y"), threshold)).select("sig")
+    asked = dense.join(dense.filter("shape & 1 = 1").select("key").distinct(), "key", "left_semi")
+    own = reps.join(asked.select("sig").distinct(), "sig").select("sig", "place", F.col("sig").alias("home"))
+    whole = words_of_sets(docs, key, text, own).drop("home").dropDuplicates(["sig"])
+    found = verified(docs, reps, pairs, key, text, threshold)
+    return gone.union(found).union(hot_matched(asked, whole, threshold, shared)).distinct()
+
+
+def settled(docs: DataFrame, reps: DataFrame, hot: DataFrame, few: bool, key: str, text: str, threshold: float) -> DataFrame:
+    """sig of the sets that match the earliest one under one of their rarest words, each tried with one such set; a table.
+
+    Sets under a frequent word are dealt to SALTS groups with an earliest one each.
+    """
+    heads = reps.filter("n > 0").withColumn("prefix", F.slice("prefix", 1, SETTLING)).withColumn("open", F.lit(True))
+    first = Window.partitionBy("key", "salt").orderBy("doc", "sig")
+    row = F.struct("sig", "doc", "shape", "bits")
+    dealt = marked(entries_of(heads), hot, few).withColumn("salt", F.when(F.col("hot"), F.pmod("sig", F.lit(SALTS))).otherwise(0).cast("int"))
+    ahead = dealt.withColumn("b", F.first(row).over(first)).select(row.alias("a"), "b")
+    near = ahead.filter("a.sig <> b.sig").filter(possible(threshold, 1 + SETTLING))
+    counted = near.groupBy(F.col("a.sig").alias("sig"), F.col("b.sig").alias("other")).agg(F.count("*").alias("n"))
+    best = cut(counted.groupBy("sig").agg(F.max(F.struct("n", "other")).alias("best")).select("sig", F.col("best.other").alias("other")))
+    return cut(verified(docs, reps, best, key, text, threshold))
+
+
+def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """sig of the pairs (sig, other) whose whole sets match, where other is the earlier one.
+
+    The words of a set move once for each of its pairs, to where those of the other set are.
+    """
+    both = pairs.select("sig", F.col("other").alias("home")).union(pairs.select("other", "other").distinct())
+    whole = words_of_sets(docs, key, text, reps.select("sig", "place").join(both, "sig"))
+    heads = whole.filter("sig = home").select("home", F.col("place").alias("before"), F.col("words").alias("y"))
+    heads = cut(heads.dropDuplicates(["home"]))  # a table, so that the join below can split a frequent home
+    match = (F.col("place") > F.col("before")) & similar(F.col("words"), F.col("y"), threshold)
+    return whole.filter("sig <> home").join(heads, "home").filter(match).select("sig").distinct()
 
 
 def hot_matched(dense: DataFrame, whole: DataFrame, threshold: float, shared: int) -> DataFrame:
-    """The same for sets that share a frequent key: a tile answers for each of its sets whether an earlier one matches."""
-    counts = dense.groupBy("key").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("parts"))
+    """The same for sets that share a frequent key: a tile answers for each of its open sets whether an earlier one matches."""
+    parts = lambda n: F.ceil(n / TILE_ROWS).cast("int")
+    counts = dense.groupBy("key").agg(parts(F.sum(F.expr("shape & 1"))).alias("asking"), parts(F.count("*")).alias("asked"))
     rows = cut(dense.join(counts, "key").join(whole, "sig"))
-    own = F.expr("CAST(pmod(xxhash64(sig), parts) AS INT)")
-    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    a = rows.withColumn("mine", own).withColumn("theirs", others).alias("a")
-    b = rows.withColumn("theirs", own).withColumn("mine", others).alias("b")
+    own = lambda n: F.expr(f"CAST(pmod(xxhash64(sig), {n}) AS INT)")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = rows.filter("shape & 1 = 1").withColumn("mine", own("asking")).withColumn("theirs", every("asked")).alias("a")
+    b = rows.withColumn("theirs", own("asked")).withColumn("mine", every("asking")).alias("b")
     same = F.expr("a.key = b.key AND a.mine = b.mine AND a.theirs = b.theirs AND a.place > b.place")
     return a.join(b, same & possible(threshold, shared) & similar(F.col("a.words"), F.col("b.words"), threshold), "left_semi").select("sig")
 
