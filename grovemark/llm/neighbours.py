@@ -2,13 +2,15 @@
 
 A bounded sample of the vectors gives a graph of nearest neighbours. The graph is cut into balanced parts, so that
 neighbours mostly lie in the same part and no part is more than a little larger than the mean; a small softmax classifier
-learns the part of a vector. Every row is filed under its most probable part; a query is sent to its most probable parts,
-as many as held-out sample queries need to reach the target recall, and is ranked there by the exact inner product.
+learns the part of a vector. The number of parts grows with the square root of the rows: where it passes PARTS, each part
+is parted again in the same way by a sample of its own rows, in a task of its own, and the probability of a leaf is the
+product along its path. Every row is filed under its most probable leaf; a query is sent to its most probable leaves, as
+many as held-out sample queries need to reach the target recall, and is ranked there by the exact inner product.
 
-A part may hold any share of the rows, as where one vector repeats; its rows are cut into blocks by a hash, and a query
-meets every block of its parts. A block gives the best `k` of each of its queries, and these are merged. So no task holds
-a part whole, and the result of a query does not depend on the blocks. Queries are stated, at most a set share of the
-rows, and come to the blocks in blocks too.
+A leaf may hold many rows; they are cut into blocks by a hash, and a query meets every block of its leaves. A candidate is
+moved once: rows and queries are shuffled to their block and sorted, so that a task holds one block and the queries stream
+past it. Of equal vectors only the k + 1 smallest ids can ever be among the best k of a query, so the others need not be
+compared: a vector that holds a third of all rows costs k + 1 of them. A block gives the best k of each of its queries.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or that hold a null or a number that is
 not finite take no part; equal scores go to the smaller id; a repeated id is a row of its own; with fewer candidates than
@@ -30,17 +32,42 @@ from grovemark.session import cut
 
 SAMPLE_ROWS = 6_000
 PARTS = 16
+MAX_CHILDREN = 256  # leaves of one part
+CHILD_ROWS = 64  # sampled rows a leaf, on average, that part a part again
 BLOCK_ROWS = 4_096
 
 
 class Router(NamedTuple):
+    """A softmax classifier of the parts of a vector; one without parts has a single part."""
+
     centre: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
-    probes: int
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.centre) @ self.weights + self.bias
+    def log_shares(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.centre) @ self.weights + self.bias
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+class Tree(NamedTuple):
+    """A router of parts and, where there are several leaves a part, a router of the leaves of each part."""
+
+    root: Router
+    children: dict[int, Router]
+    leaves: int  # of each part
+
+    def log_shares(self, x: np.ndarray) -> np.ndarray:
+        """[row, leaf]; leaf k of part p is column p * leaves + k, and a part that has no router has only its first."""
+        parts = self.root.log_shares(x)
+        if self.leaves == 1:
+            return parts
+        out = np.full((len(x), parts.shape[1] * self.leaves), -np.inf)
+        for part in range(parts.shape[1]):
+            child = self.children.get(part)
+            own = np.zeros((len(x), 1)) if child is None else child.log_shares(x)
+            out[:, part * self.leaves : part * self.leaves + own.shape[1]] = parts[:, [part]] + own
+        return out
 
 
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
@@ -101,20 +128,60 @@ def softmax_classifier(x: np.ndarray, label: np.ndarray, parts: int, steps: int
     return w, b
 
 
-def fit_router(x: np.ndarray, k: int, recall: float) -> Router:
-    """Parts of the sample, a classifier of them, and how many parts a query needs for `recall` of its best k rows."""
-    if len(x) < 8 * PARTS:
-        return Router(np.zeros(x.shape[1]), np.zeros((x.shape[1], 1)), np.zeros(1), 1)
-    label = balanced_parts(x, neighbour_graph(x, 16), PARTS)
+def single(width: int) -> Router:
+    return Router(np.zeros(width), np.zeros((width, 1)), np.zeros(1))
+
+
+def fit_router(x: np.ndarray, parts: int) -> Router:
+    """Balanced parts of the neighbour graph of x, and a classifier of them."""
+    if len(x) < 8 * parts:
+        return single(x.shape[1])
+    label = balanced_parts(x, neighbour_graph(x, min(16, len(x) - 1)), parts)
     centre = x.mean(axis=0)
-    w, b = softmax_classifier(x - centre, label, PARTS)
-    logits = (x - centre) @ w + b
-    filed, held = logits.argmax(axis=1), np.random.default_rng(7).permutation(len(x))[: min(1_000, len(x))]
+    return Router(centre, *softmax_classifier(x - centre, label, parts))
+
+
+def probes_needed(tree: Tree, x: np.ndarray, k: int, recall: float) -> int:
+    """How many leaves a held-out row of the sample must be sent to for `recall` of its best k rows in the sample."""
+    if len(x) <= k + 1:
+        return 1
+    shares = tree.log_shares(x)
+    filed, held = shares.argmax(axis=1), np.random.default_rng(7).permutation(len(x))[:1_000]
     best = neighbour_graph(x, k)[held]
-    ranks = np.argsort(np.argsort(-logits[held], axis=1), axis=1)
-    needed = np.take_along_axis(ranks, filed[best], axis=1)  # how far down a query's list the part of each neighbour is
-    reached = [(needed < probes).mean() for probes in range(1, PARTS + 1)]
-    return Router(centre, w, b, next(p for p, r in enumerate(reached, 1) if r >= min(recall, 1.0) or p == PARTS))
+    ranks = np.argsort(np.argsort(-shares[held], axis=1, kind="stable"), axis=1)
+    needed = np.take_along_axis(ranks, filed[best], axis=1)  # how far down a query's list the leaf of each neighbour is
+    reached = np.cumsum(np.bincount(needed.ravel(), minlength=shares.shape[1])) / needed.size
+    return min(int(np.searchsorted(reached, min(recall, 1.0) - 1e-12)) + 1, shares.shape[1])
+
+
+def leaves_of_part(total: int) -> int:
+    """About sqrt(total) / 4 leaves in all, a power of two in each part."""
+    wanted = total**0.5 / (4 * PARTS)
+    return 1 if wanted < 2 else min(MAX_CHILDREN, 1 << int(np.log2(wanted)))
+
+
+def fit_tree(rows: DataFrame, x: np.ndarray, total: int) -> Tree:
+    """The root from the sample x; the children each in a task, from a sample of rows that does not grow with the table."""
+    root, leaves = fit_router(x, PARTS), leaves_of_part(total)
+    if leaves == 1 or root.weights.shape[1] == 1:
+        return Tree(root, {}, 1)
+    width, share = x.shape[1], min(1.0, CHILD_ROWS * leaves * PARTS / total)
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = root.log_shares(matrix(batch.column(1), width)).argmax(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=["id", "v", "part"])
+
+    def child(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        fitted = fit_router(np.unique(np.stack(group["v"].to_numpy()), axis=0), leaves)
+        return pd.DataFrame([(int(group["part"].iloc[0]), *(a.astype(float).tobytes() for a in fitted))], columns=["part", "centre", "weights", "bias"])
+
+    some = rows.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    fitted = some.mapInArrow(parted, "id long, v array<double>, part int").groupBy("part").applyInPandas(child, "part int, centre binary, weights binary, bias binary")
+    numbers = lambda data: np.frombuffer(data, float)
+    children = {r["part"]: Router(numbers(r["centre"]), numbers(r["weights"]).reshape(width, -1), numbers(r["bias"])) for r in fitted.collect()}  # PARTS at most
+    return Tree(root, children, leaves)
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -135,16 +202,10 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.reduce(a * b, axis=1)
 
 
-def best_of_block(block: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+def best_of_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own_ids: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     """The k best rows of one block for each query, with whole ties at the border told apart by id."""
-    empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-    if not len(block) or not len(queries):
-        return empty
-    x, ids = np.stack(block["v"].to_numpy()), block["id"].to_numpy()
-    out = []
     for first in range(0, len(queries), 512):
-        part = queries.iloc[first : first + 512]
-        q, own = np.stack(part["v"].to_numpy()), part["id"].to_numpy()
+        q, own = queries[first : first + 512], own_ids[first : first + 512]
         near = q @ x.T
         near[own[:, None] == ids[None, :]] = -np.inf
         if len(ids) > k:
@@ -158,49 +219,71 @@ def best_of_block(block: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Data
         rows, cols, score = rows[order], cols[order], score[order]
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
         top = rank < k
-        out.append(pd.DataFrame({"query_id": own[rows[top]], "vec_id": ids[cols[top]], "score": score[top]}))
-    return pd.concat(out) if out else empty
+        yield pa.RecordBatch.from_arrays([pa.array(own[rows[top]]), pa.array(ids[cols[top]]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
+
+
+def ranked(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The best rows of each block for the queries behind it, in rows sorted by (leaf, block, is_query)."""
+    key, held, block = None, [], None
+    for batch in batches:
+        leaf, number, side, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+        v = matrix(batch.column(4), width)
+        change = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(number) != 0) | (np.diff(side) != 0)) + 1
+        for a, b in zip([0, *change.tolist()], [*change.tolist(), len(ids)]):
+            if a == b:
+                continue
+            if (leaf[a], number[a]) != key:
+                key, held, block = (leaf[a], number[a]), [], None
+            if not side[a]:
+                held.append((v[a:b], ids[a:b]))
+            elif held:
+                if block is None:
+                    block = [np.concatenate(x) for x in zip(*held)]
+                yield from best_of_block(*block, v[a:b], ids[a:b], k)
+
+
+def first_of_equal(rows: DataFrame, k: int) -> DataFrame:
+    """The rows that can be among the best k of a query: of equal vectors those with the k + 1 smallest ids."""
+    place = F.expr("row_number() OVER (PARTITION BY v ORDER BY id)")
+    return rows.withColumn("place", place).filter(F.col("place") <= k + 1).drop("place")
 
 
 def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = 0.96) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows found for each row for which is_query, a condition on `id`, holds.
 
-    recall is what held-out rows of the sample reach; it sets the number of parts that a query is sent to.
+    recall is what held-out rows of the sample reach; it sets the number of leaves that a query is sent to.
     """
     rows = usable(vectors, key, vector)
     spark, total = rows.sparkSession, rows.count()
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toPandas()
-    x = np.stack(sample["v"].to_numpy()).astype(float) if len(sample) else np.zeros((0, 1))
-    shared = spark.sparkContext.broadcast(fit_router(x, k, recall))
-    width, probes = x.shape[1], shared.value.probes
+    x = np.stack(sample["v"].to_numpy()).astype(float)
+    tree, width = fit_tree(rows, x, total), x.shape[1]
+    probes = probes_needed(tree, x, k, recall)
 
     def routed(most: int):
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                z = shared.value.logits(matrix(batch.column(1), width))
-                parts = np.argsort(-z, axis=1, kind="stable")[:, :most].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(parts), pa.list_(pa.int32()))], names=["id", "v", "parts"])
+                for first in range(0, batch.num_rows, 1_024):
+                    some = batch.slice(first, 1_024)
+                    shares = tree.log_shares(matrix(some.column(1), width))
+                    best = np.argsort(-shares, axis=1, kind="stable")[:, :most].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(list(best), pa.list_(pa.int32()))], names=["id", "v", "leaves"])
 
         return made
 
-    schema = "id long, v array<double>, parts array<int>"
-    filed = cut(rows.mapInArrow(routed(1), schema).select("id", "v", F.get("parts", F.lit(0)).alias("part")))
-    # A row of counts for each part, of which there are PARTS at most.
-    blocks = {row["part"]: -(-row["n"] // BLOCK_ROWS) for row in filed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    if not blocks:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    counts = F.create_map(*(F.lit(n) for pair in sorted(blocks.items()) for n in pair))
-    block = F.pmod(F.xxhash64("id", "v"), F.element_at(counts, F.col("part"))).cast("int")
-    left = filed.withColumn("block", block)
-    query_blocks = max(1, -(-total // (20 * BLOCK_ROWS)))  # a query block is of BLOCK_ROWS rows where a twentieth of all rows asks
-    asked = rows.filter(is_query).mapInArrow(routed(probes), schema)
-    asked = asked.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("q"), F.explode("parts").alias("part"))
-    asked = asked.filter(F.element_at(counts, F.col("part")).isNotNull()) if len(blocks) == PARTS else asked.filter(F.col("part").isin(list(blocks)))
-    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(counts, F.col("part")) - 1)))
-    left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    keys = ["part", "block", "q"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        lambda a, b: best_of_block(a, b, k), "query_id long, vec_id long, score double"
-    )
+    schema = "id long, v array<double>, leaves array<int>"
+    filed = cut(first_of_equal(rows, k).mapInArrow(routed(1), schema).select("id", "v", F.get("leaves", F.lit(0)).alias("leaf")))
+    sizes = filed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # PARTS * MAX_CHILDREN rows at most
+    sizes = F.broadcast(cut(sizes))
+    block = F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int")
+    left = filed.join(sizes, "leaf").select("leaf", block.alias("block"), F.lit(0).alias("side"), "id", "v")
+    asked = rows.filter(is_query).mapInArrow(routed(probes), schema).select("id", "v", F.explode("leaves").alias("leaf"))
+    right = asked.join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "id", "v")
+    # A set number, because a few bytes mean much work here and small partitions would be united.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    meeting = left.unionByName(right).repartition(tasks, "leaf", "block").sortWithinPartitions("leaf", "block", "side")
+    found = meeting.mapInArrow(lambda batches: ranked(batches, width, k), "query_id long, vec_id long, score double")
     place = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -46,3 +46,35 @@ def test_balanced():
     x = np.random.default_rng(3).normal(size=(2_000, 8))
     label = neighbours.balanced_parts(x, neighbours.neighbour_graph(x, 8), 16)
     assert np.bincount(label, minlength=16).max() <= np.ceil(1.1 * 2_000 / 16)
+
+
+def test_leaves_grow_and_candidates_move_once(spark, monkeypatch):
+    """Parts parted again, small blocks: recall holds, and no candidate is copied."""
+    monkeypatch.setattr(neighbours, "leaves_of_part", lambda total: 4)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 6_000)] + 0.3 * rng.normal(size=(6_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.usable(table, "vec_id", "embedding")
+    tree = neighbours.fit_tree(rows, x, 6_000)
+    assert len(tree.children) == neighbours.PARTS and any(c.weights.shape[1] == 4 for c in tree.children.values())
+    assert np.allclose(np.exp(tree.log_shares(x[:50])).sum(axis=1), 1)
+    assert neighbours.probes_needed(tree, x, 20, 0.96) <= 24  # of 64 leaves
+    got = {}
+    for r in neighbours.search(table, F.col("id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = best(np.arange(6_000), x, 20)
+    assert set(got) == set(want)
+    assert sum(len(got[q] & {m for m, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_number_of_leaves():
+    leaves = [neighbours.PARTS * neighbours.leaves_of_part(10**e) for e in range(2, 10)]
+    assert leaves == sorted(leaves) and leaves[0] == 16 and leaves[6] >= 1_000
+
+
+def test_first_of_equal_vectors(spark):
+    rows = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(50)] + [(60, [0.0, 1.0])], "id long, v array<double>")
+    assert sorted(r["id"] for r in neighbours.first_of_equal(rows, 3).collect()) == [0, 1, 2, 3, 60]
