@@ -5,7 +5,7 @@ neighbours mostly lie in the same part and no part is more than a little larger
 learns the part of a vector. The number of parts grows with the square root of the rows: where it passes PARTS, each part
 is parted again in the same way by a sample of its own rows, in a task of its own, and the probability of a leaf is the
 product along its path. Every row is filed under its most probable leaf; a query is sent to its most probable leaves, as
-many as held-out sample queries need to reach the target recall, and is ranked there by the exact inner product.
+many as MEASURED_ROWS sampled rows need for the target recall of their true neighbours in the whole table, and is ranked there by the exact inner product.
 
 A leaf may hold many rows; they are cut into blocks by a hash, and a query meets every block of its leaves. A candidate is
 moved once: rows and queries are shuffled to their block and sorted, so that a task holds one block and the queries stream
@@ -35,6 +35,7 @@ PARTS = 16
 MAX_CHILDREN = 256  # leaves of one part
 CHILD_ROWS = 64  # sampled rows a leaf, on average, that part a part again
 BLOCK_ROWS = 4_096
+MEASURED_ROWS = 256  # rows whose neighbours in the whole table set the number of leaves that are searched
 
 
 class Router(NamedTuple):
@@ -141,17 +142,33 @@ def fit_router(x: np.ndarray, parts: int) -> Router:
     return Router(centre, *softmax_classifier(x - centre, label, parts))
 
 
-def probes_needed(tree: Tree, x: np.ndarray, k: int, recall: float) -> int:
-    """How many leaves a held-out row of the sample must be sent to for `recall` of its best k rows in the sample."""
-    if len(x) <= k + 1:
+def probes_needed(tree: Tree, filed: DataFrame, x: np.ndarray, ids: np.ndarray, k: int, recall: float) -> int:
+    """How many leaves the rows x must be sent to for `recall` of their best k rows in the whole table, found exactly.
+
+    Each task keeps the best k of each of the few rows x, so the shuffle holds len(x) * k rows for each task.
+    """
+    width = x.shape[1]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, leaf = np.full((len(x), k), -np.inf), np.zeros((len(x), k), np.int32)
+        for batch in batches:
+            near = x @ matrix(batch.column(1), width).T
+            near[ids[:, None] == batch.column(0).to_numpy()[None, :]] = -np.inf
+            near = np.concatenate([score, near], axis=1)
+            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            leaves = np.broadcast_to(batch.column(2).to_numpy(), (len(x), batch.num_rows))
+            score, leaf = np.take_along_axis(near, top, axis=1), np.take_along_axis(np.concatenate([leaf, leaves], axis=1), top, axis=1)
+        row, column = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(leaf[row, column]), pa.array(score[row, column])], names=["row", "leaf", "score"])
+
+    place = F.expr("row_number() OVER (PARTITION BY row ORDER BY score DESC, leaf)")
+    near = filed.select("id", "v", "leaf").mapInArrow(best, "row long, leaf int, score double")
+    near = near.withColumn("place", place).filter(F.col("place") <= k).select("row", "leaf").toPandas()
+    if not len(near):
         return 1
-    shares = tree.log_shares(x)
-    filed, held = shares.argmax(axis=1), np.random.default_rng(7).permutation(len(x))[:1_000]
-    best = neighbour_graph(x, k)[held]
-    ranks = np.argsort(np.argsort(-shares[held], axis=1, kind="stable"), axis=1)
-    needed = np.take_along_axis(ranks, filed[best], axis=1)  # how far down a query's list the leaf of each neighbour is
-    reached = np.cumsum(np.bincount(needed.ravel(), minlength=shares.shape[1])) / needed.size
-    return min(int(np.searchsorted(reached, min(recall, 1.0) - 1e-12)) + 1, shares.shape[1])
+    ranks = np.argsort(np.argsort(-tree.log_shares(x), axis=1, kind="stable"), axis=1)
+    reached = np.cumsum(np.bincount(ranks[near["row"], near["leaf"]], minlength=ranks.shape[1])) / len(near)
+    return int(np.searchsorted(reached, min(recall, 1.0) - 1e-12)) + 1
 
 
 def leaves_of_part(total: int) -> int:
@@ -251,16 +268,15 @@ def first_of_equal(rows: DataFrame, k: int) -> DataFrame:
 def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = 0.96) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows found for each row for which is_query, a condition on `id`, holds.
 
-    recall is what held-out rows of the sample reach; it sets the number of leaves that a query is sent to.
+    recall is what MEASURED_ROWS sampled rows reach; it sets the number of leaves that a query is sent to.
     """
     rows = usable(vectors, key, vector)
     spark, total = rows.sparkSession, rows.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toPandas()
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
     x = np.stack(sample["v"].to_numpy()).astype(float)
     tree, width = fit_tree(rows, x, total), x.shape[1]
-    probes = probes_needed(tree, x, k, recall)
 
     def routed(most: int):
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +291,7 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
 
     schema = "id long, v array<double>, leaves array<int>"
     filed = cut(first_of_equal(rows, k).mapInArrow(routed(1), schema).select("id", "v", F.get("leaves", F.lit(0)).alias("leaf")))
+    probes = probes_needed(tree, filed, x[:MEASURED_ROWS], sample["id"].to_numpy()[:MEASURED_ROWS], k, recall)
     sizes = filed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # PARTS * MAX_CHILDREN rows at most
     sizes = F.broadcast(cut(sizes))
     block = F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int")

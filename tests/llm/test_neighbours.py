@@ -61,7 +61,16 @@ def test_leaves_grow_and_candidates_move_once(spark, monkeypatch):
     tree = neighbours.fit_tree(rows, x, 6_000)
     assert len(tree.children) == neighbours.PARTS and any(c.weights.shape[1] == 4 for c in tree.children.values())
     assert np.allclose(np.exp(tree.log_shares(x[:50])).sum(axis=1), 1)
-    assert neighbours.probes_needed(tree, x, 20, 0.96) <= 24  # of 64 leaves
+    filed = rows.toPandas()
+    vectors = np.stack(filed["v"].to_numpy())
+    filed["leaf"] = tree.log_shares(vectors).argmax(axis=1).astype(np.int32)
+    few = spark.createDataFrame(filed, "id long, v array<double>, leaf int")
+    for some in (vectors[:100], vectors[:1]):
+        want = [filed["leaf"][[m for m in np.argsort(-(vectors @ v), kind="stable") if m != n][:20]] for n, v in enumerate(some)]
+        order = np.argsort(-tree.log_shares(some), axis=1, kind="stable")
+        found = lambda p: np.mean([np.isin(w, o[:p]).mean() for w, o in zip(want, order)])
+        probes = neighbours.probes_needed(tree, few, some, filed["id"].to_numpy()[: len(some)], 20, 0.96)
+        assert found(probes) >= 0.96 and (probes == 1 or found(probes - 1) < 0.96) and probes <= 24  # of 64 leaves
     got = {}
     for r in neighbours.search(table, F.col("id") % 20 == 0).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
