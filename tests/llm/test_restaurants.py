@@ -107,3 +107,39 @@ def test_whole_contexts_sum_to_one(spark):
     x = np.linalg.solve(np.eye(5) - pair, np.ones(5))
     first = np.array([got[1000 + i] for i in range(5)]) * x  # P(u at the start)
     assert (x > 1).all() and abs(first.sum() + got[2000] - 1) < 1e-4
+
+
+@pytest.mark.parametrize("customers, weight, discount", [(300, 2.0, 0.5), (1_500, 0.3, 0.8), (1_500, 40.0, 0.1), (1_500, 400.0, 0.5)])
+def test_tables_follow_the_exact_law(customers, weight, discount):
+    """Mean and spread of the number of tables against the law found by recursion over customers."""
+    law = np.zeros(customers + 2)
+    law[1] = 1.0
+    tables = np.arange(len(law))
+    for seated in range(1, customers):
+        chance = weight / (weight + np.maximum(seated - discount * tables, 1e-9))
+        law = law * (1 - chance) + np.append(0, (law * chance)[:-1])
+    mean = (law * tables).sum()
+    spread = math.sqrt((law * (tables - mean) ** 2).sum())
+    n = 40_000
+    drawn = restaurants.tables_taken(np.full(n, customers), np.full(n, weight), discount, np.random.default_rng(5))
+    assert abs(drawn.mean() / mean - 1) < 0.01
+    assert abs(drawn.std() / spread - 1) < 0.03
+
+
+def test_same_scores_on_any_number_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(restaurants, "HOT_SHARE", 50)
+    docs, set_to, made = fixtures.mixed(spark), spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions in ("4", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            rows = restaurants.score(docs.repartition(int(partitions) // 4), fold("doc_id", 7) == 2).collect()
+            made.append(Counter(tuple(r) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", set_to)
+    assert made[0] == made[1]
+
+
+def test_number_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(restaurants, "BUCKET_BYTES", 10)
+    docs = spark.createDataFrame([(k, False, "ab" * 10) for k in range(50)] + [(60, False, None)], "doc_id long, out boolean, text string")
+    assert restaurants.number_of_buckets(docs) == 100 and restaurants.number_of_buckets(docs.limit(0)) == restaurants.MIN_BUCKETS
