@@ -32,23 +32,38 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 TOKENS = len(KINDS)  # the kind of tokens that are no entity yet
 NO_MATCH = "CAST(array() AS array<struct<kind:int,k:int,gap:int,size:int,value:string,before:string,after:string>>)"
-CONTEXT = 60  # characters on each side in which the words of a pattern are sought
+
+
+def last_words(text: Column) -> Column:
+    """The end of a text from its last word but one on, however long the words and the space between them."""
+    return F.reverse(F.regexp_extract(F.reverse(text), r"^\s*+(?:\S++\s*+){0,2}", 0))
+
+
+def first_word(text: Column) -> Column:
+    return F.regexp_extract(text, r"^\s*+\S*+\s*+", 0)
 
 
 def raw_matches(text: Column, kind: int, pattern: str) -> Column:
-    """The matches of a pattern, each with the length of the gap before it and up to CONTEXT characters on both sides."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(
-        F.split(text, pattern, -1),
-        lambda p: F.struct(F.length(p).alias("size"), F.right(p, F.lit(CONTEXT)).alias("end")),
-    )
-    after = F.transform(F.split(text, pattern, -1), lambda p: F.left(p, F.lit(CONTEXT)))
-    zipped = F.arrays_zip(found.alias("m"), gaps.alias("a"), F.slice(after, F.lit(2), F.size(found)).alias("b"))
+    """The matches of a pattern, each with the length of the gap before it, the two words before and the word after it.
+
+    A match of the same kind nearby is a word like any other. Words are sought in the nearest gaps: three before a match
+    with the two matches between them, and two after it with one, which hold them unless matches touch.
+    """
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    ends, heads = F.transform(gaps, last_words), F.transform(gaps, first_word)
+    back = lambda values, by: F.concat(F.array(*[F.lit("")] * by), values)
+    ahead = lambda values, by: F.slice(values, F.lit(by + 1), F.size(found) + 1)
+    sides = {
+        "a2": back(ends, 2), "m2": back(found, 2), "a1": back(ends, 1), "m1": back(found, 1), "a0": ends,
+        "b1": ahead(heads, 1), "n1": ahead(found, 1), "b2": ahead(heads, 2),
+    }
+    zipped = F.arrays_zip(found.alias("m"), F.transform(gaps, F.length).alias("gap"), *(v.alias(n) for n, v in sides.items()))
 
     def one(z: Column, k: Column) -> Column:
+        near = lambda *names: F.concat(*(F.coalesce(z[n], F.lit("")) for n in names))
         return F.struct(
-            F.lit(kind).alias("kind"), k.alias("k"), z["a"]["size"].alias("gap"), F.length(z["m"]).alias("size"), z["m"].alias("value"),
-            z["a"]["end"].alias("before"), z["b"].alias("after"),
+            F.lit(kind).alias("kind"), k.alias("k"), z["gap"].alias("gap"), F.length(z["m"]).alias("size"), z["m"].alias("value"),
+            last_words(near("a2", "m2", "a1", "m1", "a0")).alias("before"), first_word(near("b1", "n1", "b2")).alias("after"),
         )
 
     made = F.transform(F.slice(zipped, F.lit(1), F.size(found)), one)

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from grovemark.llm import personal
 from tests.llm import fixtures
 
@@ -58,3 +60,21 @@ def test_patterns_discover(spark):
 def test_no_rows(spark):
     assert personal.report(fixtures.empty(spark)).count() == 0
     assert personal.report(fixtures.odd(spark)).count() == len(fixtures.ODD)
+
+
+def test_words_around_matches(spark):
+    """The two words before a match and the word after it, beside other matches, long words and long space."""
+    space, token = r"[ \t\n\x0b\f\r]+", r"(?<!\S)[^\s0-9@]*[0-9@]\S*"
+    rng = random.Random(7)
+    pieces = ["tel", "fax", "12345678", "23456789", "a@b.c", "x" * 90, "9" * 90, "é", "\U0001f600"]
+    texts = ["tel 12345678 fax 23456789", "one" + " " * 200 + "two" + " " * 200 + "345 6" + "\n" * 90 + "end"]
+    texts += [rng.choice([" ", "\n", " " * 70]).join(rng.choice(pieces) for _ in range(rng.choice([1, 4, 30]))) for _ in range(200)]
+    made = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    rows = made.select("n", F.explode(personal.raw_matches(F.col("text"), personal.TOKENS, personal.TOKEN)).alias("m")).select("n", "m.*")
+    words = lambda text: [w for w in re.split(space, text) if w]
+    got = sorted((r["n"], r["k"], r["value"], words(r["before"]), words(r["after"])) for r in rows.collect())
+    want = [
+        (n, k, m.group(), words(t[: m.start()])[-2:], words(t[m.end() :])[:1])
+        for n, t in enumerate(texts) for k, m in enumerate(re.finditer(token, t))
+    ]
+    assert got == want
