@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK_CHARACTERS = 12_000_000  # of text that a task holds at a time; one longer text is a chunk of its own
+SLICE = 1 << 18  # values that are packed at a time
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 SIMPLE = re.compile(f"[\\t\\n\\r -~{LETTERS}]*\\Z")  # over these characters the standard library's classes are exact
 
@@ -64,15 +65,21 @@ def splitter(pattern: str):
 
 def varints(values: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Seven bits a byte, lowest first, the high bit set on all bytes but the last; also the size of each value."""
-    sizes = np.ones(len(values), np.int64)
+    parts = [_varints(values[at : at + SLICE]) for at in range(0, max(len(values), 1), SLICE)]
+    return b"".join(data for data, _ in parts), np.concatenate([sizes for _, sizes in parts])
+
+
+def _varints(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    sizes = np.ones(len(values), np.int8)
     for bits in (7, 14, 21, 28):
         sizes += values >= (1 << bits)
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    starts = ends - sizes
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
     for k in range(5):
         there = sizes > k
         more = (sizes[there] > k + 1).astype(np.uint8) << 7
-        out[(ends - sizes)[there] + k] = ((values[there] >> (7 * k)) & 127).astype(np.uint8) | more
+        out[starts[there] + k] = ((values[there] >> (7 * k)) & 127).astype(np.uint8) | more
     return out.tobytes(), sizes
 
 
@@ -99,18 +106,18 @@ def packed_positions(encoded: list[bytes], sequence: np.ndarray, buckets: int, p
     """
     bucket = np.fromiter((zlib.crc32(word) % buckets for word in encoded), np.int64, len(encoded))
     by_bucket = np.argsort(bucket, kind="stable")
-    place = np.empty(len(encoded), np.int64)
+    place = np.empty(len(encoded), np.int32)
     place[by_bucket] = np.arange(len(encoded))
     encoded = [encoded[k] for k in by_bucket]
     sequence = place[sequence]
-    positions = np.argsort(sequence, kind="stable")
+    positions = np.argsort(sequence, kind="stable").astype(np.int32)  # a chunk has far fewer than 2^31 positions
     counts = np.bincount(sequence, minlength=len(encoded))
     starts = np.cumsum(counts) - counts
     firsts = positions[starts]  # within a bucket in rising order, as words are numbered by their first position
     later = np.ones(len(positions), bool)
     later[starts] = False
     gap_bytes, gap_sizes = varints(np.diff(positions, prepend=0)[later])
-    gap_ends = np.concatenate(([0], np.cumsum(gap_sizes)))
+    gap_ends = np.concatenate(([0], np.cumsum(gap_sizes, dtype=np.int64)))
     bounds, out = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1)), []
     for k in np.flatnonzero(np.diff(bounds)).tolist():
         a, b = int(bounds[k]), int(bounds[k + 1])
