@@ -1,6 +1,7 @@
 """Encoding against the tiktoken library, decoding by the round trip."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -40,3 +41,14 @@ def test_other_columns_and_no_rows(spark):
 def test_varints():
     values = np.array([0, 1, 127, 128, 16_383, 16_384, 2**31])
     assert byte_pairs.from_varints(byte_pairs.varints(values)[0]).tolist() == values.tolist()
+
+
+def test_varints_take_a_bounded_amount_of_memory_beside_their_result():
+    values = np.random.default_rng(0).integers(0, 2**31, 2_000_000) >> np.arange(2_000_000) % 31
+    tracemalloc.start()
+    data, sizes = byte_pairs.varints(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes.sum() == len(data) and (byte_pairs.from_varints(data) == values).all()
+    assert peak < 3 * (len(data) + len(values)) + 40 * byte_pairs.SLICE
+    assert byte_pairs.varints(values[:0])[0] == b""
