@@ -14,14 +14,15 @@ result each; other columns of the input are ignored; texts of any length are tak
 from __future__ import annotations
 
 import base64
+import ctypes
 import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 import tiktoken
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK_CHARACTERS = 12_000_000  # of text that a task holds at a time; one longer text is a chunk of its own
 SLICE = 1 << 18  # values that are packed at a time
+DECODED_BYTES = 4 << 20  # of ids that are decoded at a time, or one text
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 SIMPLE = re.compile(f"[\\t\\n\\r -~{LETTERS}]*\\Z")  # over these characters the standard library's classes are exact
 
@@ -40,6 +42,14 @@ PACKED = "bucket int, chunk long, lengths binary, words binary, counts binary, f
 PLACED = "chunk long, lengths binary, tokens binary, counts binary, firsts binary, gaps binary, ids array<long>, sizes binary"
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """The ranks of a .tiktoken file."""
     with open(path, "rb") as lines:
@@ -156,9 +166,14 @@ def explode_chunks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int
     number, part = 0, TaskContext.get().partitionId()
 
     def rows(ids, sequences, words) -> pa.RecordBatch:
+        """The rows of a chunk; takes sequences and words empty."""
         chunk = (part << 32) | number
         out = [(chunk % buckets, chunk, None, None, None, None, None, ids, np.array([len(s) for s in sequences], np.int64).tobytes())]
-        encoded, _, packed = packed_positions([word.encode() for word in words], np.concatenate(sequences), buckets, pack)
+        sequence, encoded = np.concatenate(sequences), [word.encode() for word in words]
+        sequences.clear()
+        words.clear()
+        encoded, sequence, packed = packed_positions(encoded, sequence, buckets, pack)
+        del sequence
         for k, a, b, counts, firsts, gaps in packed:
             lengths = np.fromiter(map(len, encoded[a:b]), np.int64, b - a)
             out.append((k, chunk, pack(varints(lengths)[0]), pack(b"".join(encoded[a:b])), counts, firsts, gaps, None, None))
@@ -183,6 +198,8 @@ def explode_chunks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int
                 ids, sequences, words, held = fresh()
     if ids:
         yield rows(ids, sequences, words)
+    del ids, sequences, words
+    give_back()
 
 
 def encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -214,22 +231,26 @@ def encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
             + [columns[name] for name in ("counts", "firsts", "gaps", "ids", "sizes")],
             names=["chunk", "lengths", "tokens", "counts", "firsts", "gaps", "ids", "sizes"],
         )
+    known.clear()
+    del whole
+    give_back()
 
 
-def assemble(rows: pd.DataFrame) -> pd.DataFrame:
+def assemble(rows: pa.Table) -> pa.Table:
     """The ids of every document of one chunk, put together by position."""
     unpack = zstandard.ZstdDecompressor().decompress
-    head = rows[rows["sizes"].notna()].iloc[0]
-    body = rows[rows["sizes"].isna()]
-    lengths = np.concatenate([np.zeros(0, np.int64), *(from_varints(unpack(x)) for x in body["lengths"])])
-    tokens = np.frombuffer(b"".join(unpack(x) for x in body["tokens"]), "<u4")
-    word_at = word_numbers(list(body["counts"]), list(body["firsts"]), list(body["gaps"]))
-    starts, ends = np.cumsum(lengths) - lengths, np.cumsum(np.frombuffer(head["sizes"], np.int64))
+    is_head = rows["sizes"].is_valid()
+    head, body = rows.filter(is_head).slice(0, 1).to_pylist()[0], rows.filter(pc.invert(is_head))
+    packed = lambda name: (x.as_py() for x in body[name])
+    lengths = np.concatenate([np.zeros(0, np.int64), *(from_varints(unpack(x)) for x in packed("lengths"))])
+    tokens = np.frombuffer(b"".join(unpack(x) for x in packed("tokens")), "<u4")
+    word_at = word_numbers(*(list(packed(name)) for name in ("counts", "firsts", "gaps")))
+    starts, sizes = np.cumsum(lengths) - lengths, np.frombuffer(head["sizes"], np.int64)
     ids = []
-    for end, size in zip(ends.tolist(), np.frombuffer(head["sizes"], np.int64).tolist()):
+    for end, size in zip(np.cumsum(sizes).tolist(), sizes.tolist()):
         at = word_at[end - size : end]
         ids.append(tokens[gathered(starts[at], lengths[at])].tobytes())
-    return pd.DataFrame({"doc_id": pd.array(list(head["ids"]), dtype="Int64"), "ids": ids})
+    return pa.table({"doc_id": pa.array(head["ids"], pa.int64()), "ids": pa.array(ids, pa.binary())})
 
 
 def encode(
@@ -241,7 +262,18 @@ def encode(
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     packed = narrow.mapInArrow(lambda batches: explode_chunks(batches, pattern, buckets), PACKED)
     placed = packed.repartition(buckets, "bucket").mapInArrow(lambda batches: encode_words(batches, path), PLACED)
-    return placed.groupBy("chunk").applyInPandas(assemble, "doc_id long, ids binary")
+    return placed.groupBy("chunk").applyInArrow(assemble, "doc_id long, ids binary")
+
+
+def slices_of(column: pa.Array, most: int) -> list[tuple[int, int]]:
+    """(start, end) of consecutive slices of a binary column, each of `most` bytes at most or of one value."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, start, held = [], 0, 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, held + most, "right")))
+        out.append((start, end))
+        start, held = end, int(ends[end - 1])
+    return out
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -258,11 +290,13 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         starts, lengths, data = shared.value
         data = np.frombuffer(data, np.uint8)
         for batch in batches:
-            out = []
-            for ids in batch.column("ids"):
-                ids = np.frombuffer(ids.as_buffer(), "<u4")
-                out.append(data[gathered(starts[ids], lengths[ids])].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+            for a, b in slices_of(batch.column("ids"), DECODED_BYTES):
+                out, part = [], batch.slice(a, b - a)
+                for ids in part.column("ids"):
+                    ids = np.frombuffer(ids.as_buffer(), "<u4")
+                    out.append(data[gathered(starts[ids], lengths[ids])].tobytes())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
+        give_back()
 
     schema = ", ".join(f"`{name}` {kind}" for name, kind in encoded.dtypes)
     return encoded.mapInArrow(join_bytes, f"{schema}, decoded binary")
