@@ -9,7 +9,8 @@ Sets that match and are not equal have at least s words in common, where s / (s
 so smaller sets match by equality alone. Words of a set are ordered by rarity, the rarest first. A set of n words is filed under its first n - ceil(t n) + 2
 words; two sets that match share two of these. A pair is a candidate if it does, if the sizes allow it (t |x| <= |y|),
 if enough words can still follow the shared ones in both orders (the positional filter), and if 64-bit summaries of the
-sets do not rule it out. Candidates are verified on the whole sets. Rarity is the count over all documents of the words that fall in the same
+sets do not rule it out. A larger set has two summaries of parts of its words, chosen by hash so that their size stays bounded;
+a set of the next size has a part in common with it, and words missing from a part are missing from the whole. Candidates are verified on the whole sets. Rarity is the count over all documents of the words that fall in the same
 of 2^17 hash cells: any fixed order gives the same matches, and the counts are a table of constant size.
 
 Before pairs are formed, each set is compared with the earliest one under each of its rarest words, one row a word, which
@@ -42,6 +43,8 @@ SETTLING = 3  # so many of the rarest words of a set lead to an earlier one befo
 SALTS = 256  # groups of the sets under a frequent word
 SHARED = 2  # words that two prefixes must share; a match of unequal sets has at least four in common at 0.8
 TILE_ROWS = 512
+SUMMARY_WORDS = 48  # of a set in one summary of 64 bits; larger sets are summarised by parts of their words
+MAX_LEVEL = 6
 MAX_BROADCAST_ROWS = 200_000  # of two numbers and a short list each
 NO_DOC = -(2**63) + 1  # stands for a null id in the order of documents
 MAX_SETTLED = 1_000_000  # of one number each
@@ -65,7 +68,12 @@ def cell_ranks(docs: DataFrame, text: str) -> Column:
 
 
 def representatives(docs: DataFrame, key: str, text: str, threshold: float, min_words: int) -> DataFrame:
-    """(sig, n, bits, prefix, place) of each distinct word set, where place is its first line; a table."""
+    """(sig, n, bits, more, prefix, place) of each distinct word set, where place is its first line; a table.
+
+    bits and more are summaries of 64 bits, of which each word sets one. A set is at level 0 if it has SUMMARY_WORDS words
+    at most, at level k if 2^k times as many. bits is of the words whose hash has k zero bits in a certain place, more of those
+    that have k - 1 there and not the next.
+    """
     ranks = cell_ranks(docs, text)
     named = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("body"))
     lines = named.select("doc", "row", F.posexplode(F.split("body", "\n", -1)).alias("line_no", "line"))
@@ -78,14 +86,17 @@ def representatives(docs: DataFrame, key: str, text: str, threshold: float, min_
     sets = lines.select(
         F.struct("doc", "row", "line_no").alias("place"),
         F.sort_array(F.transform(F.array_distinct(words_of(F.col("line"))), rank_first)).alias("words"),
-    ).withColumn("n", F.size("words"))
+    ).withColumn("n", F.size("words")).withColumn("level", level_of(F.col("n")))
     enough = F.col("n") >= min_words
     compared = enough & (F.col("n") >= F.lit(least_common(threshold)))
     length = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + shared_words(threshold, min_words)).cast("int")
 
-    # 64 bits, of which each word sets one.
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
-    summary = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(bit(w)))
+    summary = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(bit(w)))
+    lowest = lambda w, k: F.shiftright(w, 6).bitwiseAND(F.call_function("shiftleft", F.lit(1), k) - 1)
+    part = F.filter("words", lambda w: lowest(w, F.col("level")) == 0)
+    other = F.filter("words", lambda w: (lowest(w, F.col("level") - 1) == 0) & (lowest(w, F.col("level")) != 0))
+    large = F.col("level") > 0
 
     # 31 bits of a word's hash are enough to file it under: words that share them are told apart when pairs are verified.
     prefix = F.transform(F.slice("words", F.lit(1), length), lambda w: F.shiftright(w, 12).bitwiseAND(F.lit(2**31 - 1)).cast("int"))
@@ -93,10 +104,11 @@ def representatives(docs: DataFrame, key: str, text: str, threshold: float, min_
         F.when(enough, F.xxhash64("words")).otherwise(F.xxhash64("place", F.lit("short"))).alias("sig"),
         F.when(enough, F.col("n")).otherwise(0).alias("n"),
         F.when(compared, prefix).alias("prefix"),
-        F.when(compared, summary).alias("bits"),
+        F.when(compared, F.when(large, summary(part)).otherwise(summary(F.col("words")))).alias("bits"),
+        F.when(compared, F.when(large, summary(other)).otherwise(F.lit(0).cast("long"))).alias("more"),
         "place",
     )
-    one = sets.groupBy("sig").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix")))
+    one = sets.groupBy("sig").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "bits", "more", "prefix")))
     return cut(one)
 
 
@@ -110,25 +122,41 @@ def shared_words(threshold: float, min_words: int) -> int:
     return max(1, min(SHARED, max(math.ceil(threshold * min_words - 1e-9), least_common(threshold))))
 
 
+def level_of(n: Column) -> Column:
+    """How often SUMMARY_WORDS must be doubled to reach n, MAX_LEVEL at most."""
+    return sum(((n > SUMMARY_WORDS << k).cast("int") for k in range(MAX_LEVEL)), F.lit(0))
+
+
 def entries_of(reps: DataFrame) -> DataFrame:
-    """A row for each word of a prefix. doc orders the sets but for those of one document; shape packs n, at and open.
+    """A row for each word of a prefix. doc orders the sets but for those of one document; shape packs n, the level of the
+    summaries, at and open.
 
     reps has a column open: whether the set still looks for an earlier one.
     """
-    shape = F.expr("shiftleft(CAST(n AS BIGINT), 32) | shiftleft(CAST(at AS BIGINT), 1) | CAST(open AS BIGINT)")
+    shape = F.expr("shiftleft(CAST(n AS BIGINT), 32) | shiftleft(CAST(level AS BIGINT), 29) | shiftleft(CAST(at AS BIGINT), 1) | CAST(open AS BIGINT)")
     doc = F.coalesce("place.doc", F.lit(NO_DOC))
-    return reps.filter("n > 0").select(F.posexplode("prefix").alias("at", "key"), "*").select("key", "sig", doc.alias("doc"), shape.alias("shape"), "bits")
+    rows = reps.filter("n > 0").withColumn("level", level_of(F.col("n"))).select(F.posexplode("prefix").alias("at", "key"), "*")
+    return rows.select("key", "sig", doc.alias("doc"), shape.alias("shape"), "bits", "more")
 
 
 def possible(threshold: float, shared: int) -> Column:
     """Whether the set of row a may match that of row b, under the same key: sizes, places of the shared word, summaries."""
     n = {x: f"shiftright({x}.shape, 32)" for x in "ab"}
-    left = {x: f"({n[x]} - (shiftright({x}.shape, 1) & 2147483647L))" for x in "ab"}
+    left = {x: f"({n[x]} - (shiftright({x}.shape, 1) & 268435455L))" for x in "ab"}
     need = f"({n['a']} + {n['b']}) * {threshold / (1 + threshold)!r}D - 1e-9D"
     sizes = f"{n['a']} >= {n['b']} * {threshold!r}D - 1e-9D AND {n['b']} >= {n['a']} * {threshold!r}D - 1e-9D"
-    bits = f"{n['a']} - bit_count(a.bits & ~b.bits) >= {need} AND {n['b']} - bit_count(b.bits & ~a.bits) >= {need}"
+
+    def missing(x: str, y: str) -> str:
+        """At least so many words of x are not in y."""
+        level = {z: f"(shiftright({z}.shape, 29) & 7L)" for z in (x, y)}
+        return (
+            f"CASE {level[x]} - {level[y]} WHEN 0 THEN bit_count({x}.bits & ~{y}.bits) + bit_count({x}.more & ~{y}.more)"
+            f" WHEN 1 THEN bit_count(({x}.bits | {x}.more) & ~{y}.bits) WHEN -1 THEN bit_count({x}.bits & ~({y}.bits | {y}.more)) ELSE 0 END"
+        )
+
+    bits = f"{n['a']} - {missing('a', 'b')} >= {need} AND {n['b']} - {missing('b', 'a')} >= {need}"
     # The first words that two sets share have at most that many shared words before them.
-    return F.expr(f"{sizes} AND {bits} AND LEAST({left['a']}, {left['b']}) + {shared - 1} >= {need}")
+    return F.expr(f"{sizes} AND LEAST({left['a']}, {left['b']}) + {shared - 1} >= {need} AND {bits}")
 
 
 # An open set looks for one of the same or an earlier document. The flag is part of a comparison of both sides, so that both
@@ -191,7 +219,7 @@ def settled(docs: DataFrame, reps: DataFrame, hot: DataFrame, few: bool, key: st
     """
     heads = reps.filter("n > 0").withColumn("prefix", F.slice("prefix", 1, SETTLING)).withColumn("open", F.lit(True))
     first = Window.partitionBy("key", "salt").orderBy("doc", "sig")
-    row = F.struct("sig", "doc", "shape", "bits")
+    row = F.struct("sig", "doc", "shape", "bits", "more")
     dealt = marked(entries_of(heads), hot, few).withColumn("salt", F.when(F.col("hot"), F.pmod("sig", F.lit(SALTS))).otherwise(0).cast("int"))
     ahead = dealt.withColumn("b", F.first(row).over(first)).select(row.alias("a"), "b")
     near = ahead.filter("a.sig <> b.sig").filter(possible(threshold, 1 + SETTLING))

@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from grovemark.llm import lines, queries
@@ -69,3 +70,32 @@ def test_short_lines_are_compared(spark, tmp_path):
     assert sorted(map(tuple, queries.op8_lines(spark, str(tmp_path)).collect()), key=str) == want
     texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_repeated_lines(spark, spark.createDataFrame(rows, fixtures.SCHEMA), str(tmp_path)).collect()}
     assert texts[9500] == "Les.\n\nAnd ornd." and texts[9501] == "\nother and ornd." and texts[9505] == "" and texts[9507] == ""
+
+
+def large_lines():
+    """Lines of 44 to 52, 92 to 104 and 190 to 200 words with near copies of other sizes, on both sides of a level of the summaries."""
+    rows = []
+    for family, size in enumerate((44, 46, 48, 49, 50, 52, 92, 96, 97, 104, 190, 193, 200)):
+        words = [f"f{family}w{k}" for k in range(size)]
+        for copy, (gone, new) in enumerate([(0, 0), (0, size // 5), (size // 9, 0), (size // 9, size // 9), (size // 8, size // 8), (size // 5, 0), (size // 4, 1)]):
+            rows.append((9600 + 10 * family + copy, " ".join(words[gone:] + [f"n{copy}x{k}" for k in range(new)])))
+    return rows
+
+
+def test_large_sets_on_both_sides_of_a_level(spark):
+    docs = spark.createDataFrame(large_lines(), fixtures.SCHEMA).cache()
+    got = sorted(map(tuple, lines.line_report(docs, min_words=1).collect()), key=str)
+    want = brute(spark, docs, 0.8, 1)
+    assert got == want and 0 < sum(n_kept for _, _, n_kept, _ in want) < len(want)
+    assert sorted(map(tuple, lines.line_report(docs, threshold=0.4).collect()), key=str) == brute(spark, docs, 0.4, 5)
+
+
+def test_large_sets_that_share_few_words_are_no_pairs(spark, monkeypatch):
+    """Sets of 100 and of 200 words, 12 of which are common to all; words in the order of their hash."""
+    monkeypatch.setattr(lines, "cell_ranks", lambda docs, text: F.array(F.lit(0).cast("tinyint")))
+    common = [f"common{k}" for k in range(12)]
+    rows = [(9700 + s, " ".join(common + [f"s{s}w{k}" for k in range(88 + 100 * (s % 2))])) for s in range(60)]
+    docs = spark.createDataFrame(rows, fixtures.SCHEMA)
+    entries = lines.entries_of(lines.representatives(docs, "doc_id", "text", 0.8, 1).withColumn("open", F.lit(True)))
+    shared = entries.alias("a").join(entries.alias("b"), F.expr("a.key = b.key AND a.sig < b.sig"))
+    assert shared.count() > 300 and shared.filter(lines.possible(0.8, 2)).count() < 10
