@@ -13,8 +13,8 @@ sets do not rule it out. A larger set has two summaries of parts of its words, c
 a set of the next size has a part in common with it, and words missing from a part are missing from the whole. Candidates are verified on the whole sets. Rarity is the count over all documents of the words that fall in the same
 of 2^17 hash cells: any fixed order gives the same matches, and the counts are a table of constant size.
 
-Before pairs are formed, each set is compared with the earliest one under each of its rarest words, one row a word, which
-settles the families of near copies. A set that matches there goes, but still counts as earlier for others; in the join only
+Before pairs are formed, each set is compared with the earliest one and the ones just before it under each of its rarest
+words, a few rows a word, which settles the families of near copies. A set that matches there goes, but still counts as earlier for others; in the join only
 sets that are not settled look for an earlier one, so a family gives rows in proportion to its size.
 
 Words that a sample of the sets shows to be frequent take another road with the same result: the sets under them are cut
@@ -40,6 +40,8 @@ CELL_BITS = 17
 SAMPLE = 16  # one set in so many is counted to find frequent keys
 HOT_IN_SAMPLE = 64
 SETTLING = 3  # so many of the rarest words of a set lead to an earlier one before pairs are formed
+BEFORE = 3  # so many sets before a set are looked at with the earliest one under each of these words
+TRIED = 2  # so many of them are verified, those that are met under most words
 SALTS = 256  # groups of the sets under a frequent word
 SHARED = 2  # words that two prefixes must share; a match of unequal sets has at least four in common at 0.8
 TILE_ROWS = 512
@@ -213,19 +215,21 @@ def matched(docs: DataFrame, reps: DataFrame, key: str, text: str, threshold: fl
 
 
 def settled(docs: DataFrame, reps: DataFrame, hot: DataFrame, few: bool, key: str, text: str, threshold: float) -> DataFrame:
-    """sig of the sets that match the earliest one under one of their rarest words, each tried with one such set; a table.
+    """sig of the sets that match the earliest set or one of the BEFORE sets just before them under one of their rarest words.
 
-    Sets under a frequent word are dealt to SALTS groups with an earliest one each.
+    Each is tried with TRIED such sets. Sets under a frequent word are dealt to SALTS groups with an earliest one each. A table.
     """
     heads = reps.filter("n > 0").withColumn("prefix", F.slice("prefix", 1, SETTLING)).withColumn("open", F.lit(True))
     first = Window.partitionBy("key", "salt").orderBy("doc", "sig")
     row = F.struct("sig", "doc", "shape", "bits", "more")
     dealt = marked(entries_of(heads), hot, few).withColumn("salt", F.when(F.col("hot"), F.pmod("sig", F.lit(SALTS))).otherwise(0).cast("int"))
-    ahead = dealt.withColumn("b", F.first(row).over(first)).select(row.alias("a"), "b")
+    earlier = [F.first(row).over(first), *(F.lag(row, k).over(first) for k in range(1, 1 + BEFORE))]
+    ahead = dealt.select(row.alias("a"), F.array_distinct(F.array(*earlier)).alias("earlier")).select("a", F.explode("earlier").alias("b"))
     near = ahead.filter("a.sig <> b.sig").filter(possible(threshold, 1 + SETTLING))
     counted = near.groupBy(F.col("a.sig").alias("sig"), F.col("b.sig").alias("other")).agg(F.count("*").alias("n"))
-    best = cut(counted.groupBy("sig").agg(F.max(F.struct("n", "other")).alias("best")).select("sig", F.col("best.other").alias("other")))
-    return cut(verified(docs, reps, best, key, text, threshold))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("n", "other")), asc=False), 1, TRIED).alias("best")
+    tried = cut(counted.groupBy("sig").agg(best).select("sig", F.explode("best.other").alias("other")))
+    return cut(verified(docs, reps, tried, key, text, threshold))
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:

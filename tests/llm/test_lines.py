@@ -99,3 +99,15 @@ def test_large_sets_that_share_few_words_are_no_pairs(spark, monkeypatch):
     entries = lines.entries_of(lines.representatives(docs, "doc_id", "text", 0.8, 1).withColumn("open", F.lit(True)))
     shared = entries.alias("a").join(entries.alias("b"), F.expr("a.key = b.key AND a.sig < b.sig"))
     assert shared.count() > 300 and shared.filter(lines.possible(0.8, 2)).count() < 10
+
+
+def test_sets_that_drift_are_settled_by_those_before_them(spark):
+    """Each set shares 29 of 31 words with the next, but few with the earliest set that holds one of its words."""
+    rows = [(9900 + s, " ".join(f"drift{k}" for k in range(s, s + 30))) for s in range(60)]
+    docs = spark.createDataFrame(rows, fixtures.SCHEMA).cache()
+    reps = lines.representatives(docs, "doc_id", "text", 0.8, 1)
+    hot = spark.createDataFrame([], "key int")
+    gone = {r["sig"] for r in lines.settled(docs, reps, hot, True, "doc_id", "text", 0.8).collect()}
+    later = {r["sig"] for r in reps.filter("place.doc > 9900").collect()}
+    assert gone <= later and len(gone) >= 50
+    assert sorted(map(tuple, lines.line_report(docs, min_words=1).collect()), key=str) == brute(spark, docs, 0.8, 1)
