@@ -62,6 +62,7 @@ def discover_stop_words(
 
     annotations(id, tokens, inRel); their tokens are used as they are.
     """
+    word_vectors = cut(word_vectors)  # read three times below
     vectors = mean_vectors(annotations, "id", "tokens", word_vectors, dimensions)
     training = vectors.join(annotations.select("id", F.col("inRel").cast("int").alias("label")), "id")
     model = fit_linear_svm(training, "vec", "label", c, tol=1e-6)

@@ -88,3 +88,14 @@ def test_gap_of_a_worse_plane_is_larger(spark):
     better = scope.fit_linear_svm(train, "embedding", "flag")
     gaps = [scope.duality_gap(model, train, "embedding", "flag").head().gap for model in (worse, better)]
     assert gaps[0] > 2 * gaps[1]
+
+
+def test_stop_words_make_the_word_vectors_once(spark):
+    """Vectors that are costly to make are read from a table wherever they are needed."""
+    turns = spark.createDataFrame([(k, ["good", "fine"] if k % 2 else ["bad", "poor"], bool(k % 2)) for k in range(40)], "id long, tokens array<string>, inRel boolean")
+    articles = spark.createDataFrame([(1, "Good", "poor fine."), (2, "bad", "other")], "doc_id long, title string, abstract string")
+    words = spark.createDataFrame([("good", 1.0), ("fine", 0.9), ("bad", -1.0), ("poor", -0.8), ("unseen", -1.0)], "word string, x double")
+    vectors = words.select("word", F.array(F.col("x").cast("float"), F.length(F.sha2("word", 256)).cast("float") * 0).alias("vec"))
+    found = discover_stop_words(turns, articles, "doc_id", vectors, 2, c=1.0)
+    assert "sha2" not in found._jdf.queryExecution().toString()
+    assert sorted(r.word for r in found.collect()) == ["bad", "poor"]
