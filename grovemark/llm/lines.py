@@ -13,13 +13,16 @@ sets do not rule it out. A larger set has two summaries of parts of its words, c
 a set of the next size has a part in common with it, and words missing from a part are missing from the whole. Candidates are verified on the whole sets. Rarity is the count over all documents of the words that fall in the same
 of 2^17 hash cells: any fixed order gives the same matches, and the counts are a table of constant size.
 
-Before pairs are formed, each set is compared with the earliest one and the ones just before it under each of its rarest
-words, a few rows a word, which settles the families of near copies. A set that matches there goes, but still counts as earlier for others; in the join only
-sets that are not settled look for an earlier one, so a family gives rows in proportion to its size.
+Before that, each set is compared with the earliest one and the ones just before it under each of its rarest
+words, a few rows a word, which settles the families of near copies. A set that matches there goes, but still counts as earlier for others; after that
+only sets that are not settled look for an earlier one.
 
-Words that a sample of the sets shows to be frequent take another road with the same result: the sets under them are cut
-into tiles of bounded size, and a tile only asks of each open set whether an earlier one matches, so it gives no pairs; one
-shared frequent word is enough there. The sample decides the road, never the result.
+No table of pairs is made, so families that grow with the table give rows in proportion to their size. Of the rows that file sets under words, those
+stay that have a candidate under the same word (a semi-join); sets with fewer such rows than the words that a match shares are
+out. The others get summaries of 1,024 bits, which leave few false candidates, and the same is asked again; then whole
+sets are compared, again by a semi-join. Under a word sets meet those of their own group of sizes and of a group beside it. The words are worked off in slices, so
+that only a part of the rows is on disk at a time. Words that a sample of the sets shows to be frequent have their sets cut
+into tiles of bounded size. The sample decides the road, never the result.
 
 Defined cases: lines with fewer than `min_words` distinct words stay and match nothing; a null text stays null; an empty
 text stays empty; texts and lines of any length are taken whole; rows that agree in doc_id and text are treated alike;
@@ -29,6 +32,7 @@ null ids come first; other columns are kept as they are.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,15 +42,19 @@ from grovemark.session import cut, fits
 
 CELL_BITS = 17
 SAMPLE = 16  # one set in so many is counted to find frequent keys
-HOT_IN_SAMPLE = 64
+HOT_IN_SAMPLE = 256
 SETTLING = 3  # so many of the rarest words of a set lead to an earlier one before pairs are formed
 BEFORE = 3  # so many sets before a set are looked at with the earliest one under each of these words
 TRIED = 2  # so many of them are verified, those that are met under most words
 SALTS = 256  # groups of the sets under a frequent word
 SHARED = 2  # words that two prefixes must share; a match of unequal sets has at least four in common at 0.8
-TILE_ROWS = 512
+TILE_ROWS = 4_096
 SUMMARY_WORDS = 48  # of a set in one summary of 64 bits; larger sets are summarised by parts of their words
 MAX_LEVEL = 6
+WIDE = 16  # times 64 bits of the summary that sets with a near one have besides
+GROUP_BITS = 6  # of a key, for the group of sizes
+SLICES = 4  # of the keys, one after the other
+WHOLE_ROWS = 100_000  # sets of which the keys are not worked off in slices
 MAX_BROADCAST_ROWS = 200_000  # of two numbers and a short list each
 NO_DOC = -(2**63) + 1  # stands for a null id in the order of documents
 MAX_SETTLED = 1_000_000  # of one number each
@@ -161,9 +169,24 @@ def possible(threshold: float, shared: int) -> Column:
     return F.expr(f"{sizes} AND LEAST({left['a']}, {left['b']}) + {shared - 1} >= {need} AND {bits}")
 
 
-# An open set looks for one of the same or an earlier document. The flag is part of a comparison of both sides, so that both
-# sides of the join stay the same shuffle.
-LATER = "IF(a.shape & 1 = 1, a.doc, shiftleft(1L, 63)) >= b.doc AND a.sig <> b.sig"
+def wide_summaries(whole: DataFrame) -> DataFrame:
+    """(sig, wide0, ...): a summary of 64 * WIDE bits of each set in whole(sig, words), of which each word sets one."""
+    bit = whole.select("sig", F.explode("words").alias("word")).withColumn("bit", F.pmod(F.xxhash64("word"), F.lit(64 * WIDE)).cast("int"))
+    of = lambda k: F.expr(f"bit_or(IF(shiftright(bit, 6) = {k}, shiftleft(1L, bit & 63), 0L))")
+    return bit.groupBy("sig").agg(*(of(k).alias(f"wide{k}") for k in range(WIDE)))
+
+
+def possible_wide(threshold: float) -> Column:
+    """Whether the sets of rows a and b may match by the summaries of 64 * WIDE bits: each bit that differs is a word of one alone."""
+    sizes = "(shiftright(a.shape, 32) + shiftright(b.shape, 32))"
+    alone = " + ".join(f"bit_count(a.wide{k} ^ b.wide{k})" for k in range(WIDE))
+    return F.expr(f"{alone} <= {sizes} * {(1 - threshold) / (1 + threshold)!r}D + 1e-9D")
+
+
+# An open set looks for one of the same or an earlier document. The condition is the same for both sides, so that both sides
+# of the join stay the same shuffle.
+NEAR = "a.sig <> b.sig AND ((a.shape & 1 = 1 AND a.doc >= b.doc) OR (b.shape & 1 = 1 AND b.doc >= a.doc))"
+SAME_TILE = "a.key = b.key AND a.mine = b.mine AND a.theirs = b.theirs"
 
 
 def similar(a: Column, b: Column, threshold: float) -> Column:
@@ -200,18 +223,57 @@ def matched(docs: DataFrame, reps: DataFrame, key: str, text: str, threshold: fl
     gone = settled(docs, reps, hot, few_hot, key, text, threshold)
     few = fits(gone, MAX_SETTLED)
     marks = gone.withColumn("_gone", F.lit(True))
-    open_ = reps.join(F.broadcast(marks) if few else marks, "sig", "left").withColumn("open", F.col("_gone").isNull())
-    split = marked(entries_of(open_), hot, few_hot)
-    cold = split.filter("hot IS NULL").drop("hot")
-    both = cold.alias("a").join(cold.alias("b"), F.expr("a.key = b.key") & F.expr(LATER) & possible(threshold, shared))
-    counted = both.groupBy(F.col("a.sig").alias("sig"), F.col("b.sig").alias("other")).agg(F.count("*").alias("n"))
-    pairs = cut(counted.filter(F.col("n") >= shared))
-    dense = cut(split.filter("hot").drop("hot"))
-    asked = dense.join(dense.filter("shape & 1 = 1").select("key").distinct(), "key", "left_semi")
+    open_ = reps.join(F.broadcast(marks) if few else marks, "sig", "left").withColumn("open", F.col("_gone").isNull()).drop("_gone")
+    near = near_entries(open_ if few else cut(open_), hot, few_hot, threshold, shared)
+    asked = met_often(near, shared)
     own = reps.join(asked.select("sig").distinct(), "sig").select("sig", "place", F.col("sig").alias("home"))
     whole = words_of_sets(docs, key, text, own).drop("home").dropDuplicates(["sig"])
-    found = verified(docs, reps, pairs, key, text, threshold)
-    return gone.union(found).union(hot_matched(asked, whole, threshold, shared)).distinct()
+    a, b = in_tiles(by_size(asked, threshold), F.lit(True), cut(wide_summaries(whole)))
+    nearer = a.join(b, F.expr(SAME_TILE) & F.expr(NEAR) & possible(threshold, shared) & possible_wide(threshold), "left_semi")
+    a, b = in_tiles(met_often(cut(of_any_size(nearer.select(*asked.columns))), shared), F.expr("shape & 1 = 1"), whole)
+    match = possible(threshold, shared) & similar(F.col("a.words"), F.col("b.words"), threshold)
+    found = a.join(b, F.expr(SAME_TILE) & F.expr("a.place > b.place") & match, "left_semi")
+    return gone.union(found.select("sig")).distinct()
+
+
+def met_often(near: DataFrame, shared: int) -> DataFrame:
+    """The rows of the sets that have so many rows, since a set shares so many words with one that it matches; a table."""
+    often = near.groupBy("sig").agg(F.count("*").alias("met")).filter(F.col("met") >= shared)
+    return cut(near.join(often, "sig", "left_semi"))
+
+
+def by_size(entries: DataFrame, threshold: float) -> DataFrame:
+    """entries with keys of a word and a group of sizes: sets are in the group of their size and that of the largest that may match."""
+    ratio = math.log(max(threshold**-2, 1.5))  # a set reaches the next group at most
+    group = lambda n: f"CAST(floor(ln({n}) / {ratio!r}D) AS BIGINT)"
+    n = "shiftright(shape, 32)"
+    groups = F.expr(f"explode(sequence({group(n)}, {group(f'floor({n} / {threshold!r}D + 1e-6D)')}))")
+    key = F.expr(f"shiftleft(CAST(key AS BIGINT), {GROUP_BITS}) | group")
+    return entries.withColumn("group", groups).withColumn("key", key).drop("group")
+
+
+def of_any_size(entries: DataFrame) -> DataFrame:
+    """Rows of by_size with their keys of a word again, once each."""
+    return entries.withColumn("key", F.shiftright("key", GROUP_BITS).cast("int")).distinct()
+
+
+def near_entries(reps: DataFrame, hot: DataFrame, few: bool, threshold: float, shared: int) -> DataFrame:
+    """The rows of entries_of whose set may match another one under the same key, where the later of the two is open; a table.
+
+    No pairs are formed: a row is there or not. The keys are worked off in SLICES, so that the rows of one slice alone are on disk.
+    """
+    near = F.expr(NEAR) & possible(threshold, shared)
+    made = []
+    slices = 1 if fits(reps, WHOLE_ROWS) else SLICES
+    for part in range(slices):
+        entries = marked(entries_of(reps).filter(F.pmod("key", F.lit(slices)) == part), hot, few)
+        cold = by_size(entries.filter("hot IS NULL").drop("hot"), threshold)
+        found = cold.alias("a").join(cold.alias("b"), F.expr("a.key = b.key") & near, "left_semi")
+        made.append(cut(of_any_size(found)))
+    dense = cut(entries_of(reps).join(F.broadcast(hot) if few else hot, "key"))
+    a, b = in_tiles(dense, F.lit(True))
+    made.append(cut(a.join(b, F.expr(SAME_TILE) & near, "left_semi").select(*dense.columns).distinct()))
+    return reduce(DataFrame.union, made)
 
 
 def settled(docs: DataFrame, reps: DataFrame, hot: DataFrame, few: bool, key: str, text: str, threshold: float) -> DataFrame:
@@ -245,17 +307,20 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, key: str, text:
     return whole.filter("sig <> home").join(heads, "home").filter(match).select("sig").distinct()
 
 
-def hot_matched(dense: DataFrame, whole: DataFrame, threshold: float, shared: int) -> DataFrame:
-    """The same for sets that share a frequent key: a tile answers for each of its open sets whether an earlier one matches."""
+def in_tiles(rows: DataFrame, asks: Column, facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows that ask and all rows, as a and b, copied to the tiles of TILE_ROWS by TILE_ROWS in which those of a key meet.
+
+    facts(sig, ...) are joined to them.
+    """
     parts = lambda n: F.ceil(n / TILE_ROWS).cast("int")
-    counts = dense.groupBy("key").agg(parts(F.sum(F.expr("shape & 1"))).alias("asking"), parts(F.count("*")).alias("asked"))
-    rows = cut(dense.join(counts, "key").join(whole, "sig"))
+    counts = rows.groupBy("key").agg(parts(F.sum(asks.cast("long"))).alias("asking"), parts(F.count("*")).alias("asked"))
+    rows = cut(rows.join(counts.filter("asking > 0"), "key"))
     own = lambda n: F.expr(f"CAST(pmod(xxhash64(sig), {n}) AS INT)")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = rows.filter("shape & 1 = 1").withColumn("mine", own("asking")).withColumn("theirs", every("asked")).alias("a")
-    b = rows.withColumn("theirs", own("asked")).withColumn("mine", every("asking")).alias("b")
-    same = F.expr("a.key = b.key AND a.mine = b.mine AND a.theirs = b.theirs AND a.place > b.place")
-    return a.join(b, same & possible(threshold, shared) & similar(F.col("a.words"), F.col("b.words"), threshold), "left_semi").select("sig")
+    a = rows.filter(asks).withColumn("mine", own("asking")).withColumn("theirs", every("asked"))
+    b = rows.withColumn("theirs", own("asked")).withColumn("mine", every("asking"))
+    a, b = (x if facts is None else x.join(facts, "sig") for x in (a, b))
+    return a.alias("a"), b.alias("b")
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, min_words: int = 5) -> DataFrame:

@@ -1,6 +1,7 @@
 """Kept lines against all pairs of lines."""
 
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from grovemark.llm import lines, queries
+from grovemark.session import DROP_SHUFFLES, cut
 from tests.llm import fixtures
 
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
@@ -111,3 +113,43 @@ def test_sets_that_drift_are_settled_by_those_before_them(spark):
     later = {r["sig"] for r in reps.filter("place.doc > 9900").collect()}
     assert gone <= later and len(gone) >= 50
     assert sorted(map(tuple, lines.line_report(docs, min_words=1).collect()), key=str) == brute(spark, docs, 0.8, 1)
+
+
+def near_family(size):
+    """Sets of 26 common words and four of their own: none matches another, but all are near."""
+    return [(9100 + s, " ".join([f"c{k}" for k in range(26)] + [f"own{s}x{k}" for k in range(4)])) for s in range(size)]
+
+
+def test_near_sets_that_match_nothing_give_no_pairs(spark, monkeypatch):
+    """No table has more rows than sets have words to be filed under, however large the family is."""
+    rows, cut = [], lines.cut
+    monkeypatch.setattr(lines, "cut", lambda df: (made := cut(df), rows.append(made.count()))[0])
+    docs = spark.createDataFrame(near_family(150), fixtures.SCHEMA)
+    reps = lines.representatives(docs, "doc_id", "text", 0.8, 1)
+    filed = lines.entries_of(reps.withColumn("open", F.lit(True))).count()
+    assert lines.matched(docs, reps, "doc_id", "text", 0.8, 1).count() == 0
+    assert max(rows) <= filed < 150 * 149 / 8
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_same_in_slices_and_tiles(spark, monkeypatch, threshold):
+    monkeypatch.setattr(lines, "WHOLE_ROWS", 0)
+    monkeypatch.setattr(lines, "TILE_ROWS", 40)
+    docs = spark.createDataFrame(large_lines() + CASES + near_family(50), fixtures.SCHEMA).cache()
+    assert sorted(map(tuple, lines.line_report(docs, threshold=threshold).collect()), key=str) == brute(spark, docs, threshold, 5)
+
+
+def test_shuffle_files_go_with_the_table(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = disk.getAllFiles()
+        return {name for name in (files.apply(k).getName() for k in range(files.size())) if name.startswith("shuffle_")}
+
+    before = held()
+    made = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 20
+    while held() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not held() - before and made.count() == 7
+    assert spark.conf.get(DROP_SHUFFLES) == "false"
